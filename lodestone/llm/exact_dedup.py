@@ -26,6 +26,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # many small stores: without this each holds megabytes of preallocated log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Copies compared with their kept row in one task, at most about so many: larger groups are salted.
 COPIES_PER_SALT = 256
