@@ -1,4 +1,9 @@
 """All queries of the library by name, with the DuckDB text that each must agree with."""
 
+from lodestone.operators import events, search
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (search, events):
+    QUERIES |= _module.C.queries
+    ORACLE_SQL |= _module.C.oracle
