@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-MEMO = 400_000
+MEMO, BLOCK = 400_000, 128
 
 
 class Encoder:
@@ -29,6 +29,10 @@ class Encoder:
         self.separates = self.tokenizer.normalizer is not None
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
+        # what stands between joined stretches: a token that touches neither side
+        self.mark, self.between = ("\x02", " \x02 ") if self.separates else ("\n", "\n")
+        ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else -1
         self.odd = re.compile(r"\s\s|\0").search
 
     def _cut(self, text: str) -> list[str]:
@@ -39,8 +43,24 @@ class Encoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _learn(self, stretches: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        return {s: np.array(e.ids, dtype=self.dtype).tobytes() for s, e in zip(stretches, found)}
+        """Ids of each stretch. Most go to the library joined by a mark, BLOCK at a time, and are cut at the mark's id."""
+        batch = self.tokenizer.encode_batch_fast
+        out, plain, other = {}, [], []
+        for s in stretches:
+            (plain if s and self.mark not in s and (self.separates or (s[0] == " " and not s.isspace())) else other).append(s)
+        blocks = [plain[i : i + BLOCK] for i in range(0, len(plain), BLOCK)]
+        for block, e in zip(blocks, batch([self.between.join(x) + self.between for x in blocks], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = np.nonzero(ids == self.mark_id)[0].tolist()
+            if len(ends) != len(block):
+                other += block
+                continue
+            raw, size, at = ids.tobytes(), ids.itemsize, 0
+            for s, end in zip(block, ends):
+                out[s] = raw[at * size : end * size]
+                at = end + 1
+        out.update((s, np.array(e.ids, dtype=self.dtype).tobytes()) for s, e in zip(other, batch(other, add_special_tokens=False)))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
@@ -50,7 +70,14 @@ class Encoder:
         known = [list(map(memo.get, c)) for c in cut]
         new = {s for c, k in zip(cut, known) if None in k for s, v in zip(c, k) if v is None}
         if new:
-            learnt = self._learn(list(new))
+            # a Latin letter and then one full stop or comma at the end are always apart: the word alone is looked up
+            # (other letters may normalise to a letter and a mark, which goes with the punctuation)
+            ended = {s for s in new if len(s) > 2 and s[-1] in ".," and s[-2] <= "\u024f" and s[-2].lower().isalpha()}
+            cores = {s[:-1] for s in ended}
+            learnt = self._learn(list((new - ended) | {c for c in cores if c not in memo} | {".", ","}))
+            for s in ended:
+                core = memo.get(s[:-1])
+                learnt[s] = (learnt[s[:-1]] if core is None else core) + learnt[s[-1]]
             memo.update((s, v) for s, v in learnt.items() if len(s) < 64)
             known = [[v if v is not None else learnt[s] for s, v in zip(c, k)] if None in k else k for c, k in zip(cut, known)]
         return [b"".join(k) for k in known]
