@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, whole_text
 
-MEMO = 400_000
+MEMO = 700_000
 NONE = -1
 
 
@@ -48,22 +48,24 @@ class RankQueue:
         else:
             heappush(bucket, place)
 
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        i = (self.top & -self.top).bit_length() - 1
-        j = i << 6 | (self.mid[i] & -self.mid[i]).bit_length() - 1
-        rank = j << 6 | (self.low[j] & -self.low[j]).bit_length() - 1
+    def pop(self) -> tuple[int, int]:
+        """Of a queue whose top is not zero."""
+        top = self.top
+        i = (top & -top).bit_length() - 1
+        mid = self.mid[i]
+        j = i << 6 | (mid & -mid).bit_length() - 1
+        low = self.low[j]
+        rank = j << 6 | (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            self.low[j] &= ~(1 << (rank & 63))
-            if not self.low[j]:
-                self.mid[i] &= ~(1 << (j & 63))
-                if not self.mid[i]:
-                    self.top &= ~(1 << i)
-        return rank, place
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        self.buckets[rank] = None
+        low = self.low[j] = low & (low - 1)
+        if not low:
+            mid = self.mid[i] = mid & (mid - 1)
+            if not mid:
+                self.top = top & (top - 1)
+        return rank, bucket[0]
 
 
 class Bpe:
@@ -88,36 +90,30 @@ class Bpe:
         ranks, queue, n = self.ranks, self.queue, len(match)
         if (whole := ranks.get(match)) is not None:
             return [whole]
-        after, before = list(range(1, n + 1)), list(range(-1, n))  # next[i], and of i the place before
+        after, before = list(range(1, n + 1)), list(range(-1, n))  # of a place, the next one and the one before
         waits = [NONE] * n  # rank of the pair that begins at a place, NONE if none or gone
-        get = ranks.get
+        get, push, pop = ranks.get, queue.push, queue.pop
         for i in range(n - 1):
-            rank = get(match[i : i + 2])
-            if rank is not None:
+            if (rank := get(match[i : i + 2])) is not None:
                 waits[i] = rank
-                queue.push(rank, i)
-        while (least := queue.pop()) is not None:
-            rank, i = least
+                push(rank, i)
+        while queue.top:
+            rank, i = pop()
             if waits[i] != rank:
                 continue  # stale
             j = after[i]
             k = after[i] = after[j]
-            waits[j] = NONE
+            waits[j] = waits[i] = NONE
             if k < n:
                 before[k] = i
-                new = get(match[i : after[k]])
-                waits[i] = NONE if new is None else new
-                if new is not None:
-                    queue.push(new, i)
-            else:
-                waits[i] = NONE
+                if (new := get(match[i : after[k]])) is not None:
+                    waits[i] = new
+                    push(new, i)
             if (h := before[i]) >= 0:
-                new = get(match[h:k])
-                if new is None:
-                    waits[h] = NONE
-                elif waits[h] != new:
+                waits[h] = NONE
+                if (new := get(match[h:k])) is not None:
                     waits[h] = new
-                    queue.push(new, h)
+                    push(new, h)
         out, i = [], 0
         while i < n:
             out.append(ranks[match[i : after[i]]])
