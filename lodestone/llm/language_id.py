@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, whole_text
 
-FIT_TEXTS = 20_000
+FIT_TEXTS = 5_000
 #: Words kept in the model: those seen twice or more in the sample. Lengths of n-grams, longest first.
 MIN_COUNT, LENGTHS = 2, (5, 4, 3, 2, 1)
 SMOOTH = 0.5
