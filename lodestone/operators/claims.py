@@ -120,9 +120,13 @@ select event_id, case when expires <= (select max({d.seconds('ts')}) from events
 @C.sql
 def artifact_reassembly_digest(d):
     """Staged chunks in order of their offset, joined and digested; the size seen against the size declared."""
+    whole = d.pick(
+        "array_join(transform(array_sort(collect_list(struct(l_linenumber, bytes))), x -> x.bytes), '')",
+        "string_agg(bytes, '' order by l_linenumber, bytes)",
+    )
     piece = "concat(cast(l_partkey as string), ':', cast(l_suppkey as string), ';')"
     return f"""with c as (select l_orderkey, l_linenumber, {piece} as bytes from lineitem)
-select l_orderkey, {d.sha256(d.join_agg('bytes', 'l_linenumber', ''))} as digest, cast(sum(length(bytes)) as bigint) as size from c group by l_orderkey"""
+select l_orderkey, {d.sha256(whole)} as digest, cast(sum(length(bytes)) as bigint) as size from c group by l_orderkey"""
 
 
 @C.sql
