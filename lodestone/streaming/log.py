@@ -13,6 +13,16 @@ from lodestone.sources.tables import Catalogue, table
 C = Catalogue()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def deliver(spark: SparkSession, sf_dir: str, out: str, per_trigger: int = 1) -> None:
     """Keeps each subject's revision count and last event as a stream over the log; changed keys are appended for each batch.
 
@@ -30,8 +40,32 @@ def deliver(spark: SparkSession, sf_dir: str, out: str, per_trigger: int = 1) ->
 
 @C.spark("select event_type, user_id, count(*) as revision, max(event_id) as last_event from events group by event_type, user_id")
 def events_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    out = f"{base}/stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     deliver(spark, sf_dir, out)
     rows = spark.read.parquet(f"{out}/rows")
     return rows.groupBy("event_type", "user_id").agg(F.max("revision").alias("revision"), F.max("last_event").alias("last_event"))
+
+
+HOLD_SECONDS = 12 * 3600
+EXPIRED = f"""with o as (select user_id, date_trunc('second', ts) as ts from events),
+m as (select *, case when epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts)) < {HOLD_SECONDS} then 0 else 1 end as opens from o),
+g as (select *, sum(opens) over (partition by user_id order by ts rows between unbounded preceding and current row) as hold from m),
+h as (select user_id, min(epoch(ts))::bigint as opened, max(epoch(ts))::bigint + {HOLD_SECONDS} as expired, count(*) as renewals from g group by user_id, hold)
+select * from h where expired <= (select max(epoch(ts))::bigint from o)"""
+
+
+@C.spark(EXPIRED)
+def events_stateful_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holds that each event of a user opens or renews; one expires, and only then is emitted, once the watermark has passed its end.
+
+    The state of a hold is dropped with it. Time is in whole seconds.
+    """
+    out = scratch(spark, "timers")
+    schema = table(spark, sf_dir, "events").schema
+    log = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    log = log.select("user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts")).withWatermark("ts", "0 seconds")
+    holds = log.groupBy("user_id", F.session_window("ts", f"{HOLD_SECONDS} seconds").alias("hold")).agg(F.count("*").alias("renewals"))
+    rows = holds.select("user_id", F.unix_timestamp("hold.start").alias("opened"), F.unix_timestamp("hold.end").alias("expired"), "renewals")
+    query = rows.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{out}/rows").start()
+    query.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
