@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, whole_text, written
-from lodestone.llm.tokens import encoder
+from lodestone.llm.tokens import TEXTS, encoder
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "part int, doc_id long, piece int, start long, length long, local_rank long, ids binary"
@@ -42,10 +42,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = [0] * (capacity + 1)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
                 rows: list[list] = [[] for _ in range(6)]
-                for doc, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist())):
+                for doc, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
                     ids = np.append(np.frombuffer(ids, encode.dtype).astype("<u4"), np.uint32(END_ID))
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, scratch, whole_text
-from lodestone.llm.tokens import encoder
+from lodestone.llm.tokens import TEXTS, encoder
 
 END_ID = 0
 #: Ids of a shard, about; least number of times that a replaced pair occurs in it; rounds at most.
@@ -121,9 +121,9 @@ def shards(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataF
             return pa.record_batch([pa.array([v], t) for v, (_, t) in zip(values, FIELDS)], names=[k for k, _ in FIELDS])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), encode.encode(some.column(1).to_pylist())):
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                for doc, ids in zip(some.column(0).to_pylist(), encode.encode(some.column(1))):
                     n = len(ids) // np.dtype(encode.dtype).itemsize + 1
                     docs_.append(doc), lens.append(n), held.append(ids + end)
                     have += n

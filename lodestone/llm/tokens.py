@@ -3,17 +3,23 @@
 A text falls into stretches that the tokenizer treats apart whatever stands beside them: for the byte-level file,
 cuts are before single spaces and around single newlines; for the word file, which drops white space, at spaces
 and newlines. A text with two white-space characters in a row (byte-level), where the cuts would not hold, goes to
-the library as one piece. The memo is emptied when it holds MEMO stretches, which bounds its memory.
+the library as one piece. When the memo holds MEMO stretches it becomes the older memo, from which a stretch met
+again is taken over, and the older one before it goes: that bounds its memory and keeps what is common.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO, BLOCK = 400_000, 128
+#: Texts of a call to encode(), about: enough of them to share most of their stretches.
+TEXTS = 1024
+#: Two white-space characters in a row, or the character that marks cuts.
+ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}|\x00"
 
 
 class Encoder:
@@ -29,18 +35,16 @@ class Encoder:
         self.separates = self.tokenizer.normalizer is not None
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # what stands between joined stretches: a token that touches neither side
         self.mark, self.between = ("\x02", " \x02 ") if self.separates else ("\n", "\n")
         ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = ids[0] if len(ids) == 1 else -1
-        self.odd = re.compile(r"\s\s|\0").search
 
-    def _cut(self, text: str) -> list[str]:
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
         if self.separates:
-            return text.replace("\n", " ").split(" ")
-        if self.odd(text):
-            return [text]
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
 
     def _learn(self, stretches: list[str]) -> dict[str, bytes]:
         """Ids of each stretch. Most go to the library joined by a mark, BLOCK at a time, and are cut at the mark's id."""
@@ -62,25 +66,58 @@ class Encoder:
         out.update((s, np.array(e.ids, dtype=self.dtype).tobytes()) for s, e in zip(other, batch(other, add_special_tokens=False)))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        cut = [self._cut(t) for t in texts]
-        known = [list(map(memo.get, c)) for c in cut]
-        new = {s for c, k in zip(cut, known) if None in k for s, v in zip(c, k) if v is None}
+    def _known(self, stretches: list[str]) -> list[bytes]:
+        """Ids of distinct stretches, by the memo as far as it goes."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, stretches))
+        missing = [i for i, v in enumerate(found) if v is None]
+        new = []
+        for i in missing:
+            s = stretches[i]
+            if (v := older.get(s)) is None:
+                new.append(s)
+            else:
+                found[i] = memo[s] = v
         if new:
             # a Latin letter and then one full stop or comma at the end are always apart: the word alone is looked up
             # (other letters may normalise to a letter and a mark, which goes with the punctuation)
             ended = {s for s in new if len(s) > 2 and s[-1] in ".," and s[-2] <= "\u024f" and s[-2].lower().isalpha()}
             cores = {s[:-1] for s in ended}
-            learnt = self._learn(list((new - ended) | {c for c in cores if c not in memo} | {".", ","}))
+            learnt = self._learn(list((set(new) - ended) | {c for c in cores if c not in memo} | {".", ","}))
             for s in ended:
                 core = memo.get(s[:-1])
                 learnt[s] = (learnt[s[:-1]] if core is None else core) + learnt[s[-1]]
             memo.update((s, v) for s, v in learnt.items() if len(s) < 64)
-            known = [[v if v is not None else learnt[s] for s, v in zip(c, k)] if None in k else k for c, k in zip(cut, known)]
-        return [b"".join(k) for k in known]
+            for i in missing:
+                if found[i] is None:
+                    found[i] = learnt[stretches[i]]
+        return found
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """A text's stretches are told apart by Arrow's dictionary: Python meets each distinct stretch of `texts` once."""
+        texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts).cast(pa.large_string())
+        out: list[bytes] = [b""] * len(texts)
+        odd = np.zeros(len(texts), bool) if self.separates else np.asarray(pc.match_substring_regex(texts, ODD))
+        whole = np.nonzero(odd)[0].tolist()
+        if whole:
+            own = texts.take(pa.array(whole)).to_pylist()
+            distinct = list(dict.fromkeys(own))
+            ids = dict(zip(distinct, self._known(distinct)))
+            for i, text in zip(whole, own):
+                out[i] = ids[text]
+        places = np.nonzero(~odd)[0]
+        cut = self._cut(texts.filter(pa.array(~odd)) if whole else texts)
+        coded = cut.flatten().dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        # the ids of all stretches now stand in one buffer, in order
+        stretch_ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        text_ends = stretch_ends[np.concatenate([[0], np.cumsum(np.asarray(cut.value_lengths()))])].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for i, lo, hi in zip(places.tolist(), text_ends, text_ends[1:]):
+            out[i] = bytes(data[lo:hi])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
