@@ -113,6 +113,46 @@ def test_substring_dedup_removes_the_second_copy(odd, none):
     assert out[8].n_chars == len(out[8].text) and out[1].text is None and substring_dedup.remove_repeats(none).count() == 0
 
 
+def plain_removal(docs):
+    """docs: (doc_id, text) in order. doc_id -> text without every sentence of a span of 16 words or more with an earlier copy."""
+    import re
+
+    first, cuts = {}, {}
+    for doc, text in docs:
+        cut = [p for p in re.findall(r"(?s)(.*?(?:[.!?][\x20\x09-\x0D]+|\n|\Z))", text or "") if p]
+        s = [(i, " ".join(w)) for i, p in enumerate(cut) if (w := [x for x in re.split(r"[\x20\x09-\x0D]+", p) if x])]
+        cuts[doc] = cut, s
+    out = {}
+    for doc, _ in docs:
+        cut, s = cuts[doc]
+        gone = set()
+        for k in range(len(s)):
+            n, body = 0, []
+            for m in range(k, min(len(s), k + 48)):
+                n += s[m][1].count(" ") + 1
+                body.append(s[m][1])
+                if n >= 16 and first.setdefault("\n".join(body), (doc, k)) != (doc, k):
+                    gone |= {s[j][0] for j in range(k, m + 1)}
+        out[doc] = "".join(p for i, p in enumerate(cut) if i not in gone)
+    return out
+
+
+def test_substring_dedup_removes_whole_spans(spark):
+    long = " ".join(f"w{i}" for i in range(20)) + ". "
+    docs = spark.createDataFrame(
+        [(1, long + "Short tail here. Own end."), (2, "Own start. " + long + "Short tail here. Other end."), (3, "Alone. " + long + "Third end.")], "doc_id long, text string"
+    )
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert out[2] == "Own start. Other end." and out[3] == "Alone. Third end." and out[1].startswith("w0 ")
+
+
+def test_substring_dedup_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = plain_removal(sorted((r.doc_id, r.text) for r in docs.filter("text is not null").collect()))
+    got = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).filter("text is not null").collect()}
+    assert got == want
+
+
 def test_suffix_dedup_finds_repeats(spark, odd, none):
     got = [(r.doc_id, r.other_doc_id, r.n_words) for r in suffix_dedup.matches(odd).collect()]
     assert any({a, b} == {7, 8} and n >= 50 for a, b, n in got) and suffix_dedup.matches(none).count() == 0
