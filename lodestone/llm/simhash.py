@@ -14,6 +14,9 @@ and the skipped share of tile pairs grows with the block. See README for figures
 Defined cases: a null text is empty; a text without words has fingerprint zero and is linked like any other;
 a text with fewer words than a shingle is one shingle; copies share a fingerprint and thus a class of their
 own; repeated rows get equal results; an empty table gives an empty result; only doc_id and text are read.
+The graph's nodes are fingerprints, so rows that share a doc_id but not their text are different nodes, and a null
+doc_id links like any other: a component's id is its least doc_id that is not null, null where it has none.
+keep_one() keeps one row of a component, that of the least doc_id, nulls last, then of the least locator.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import components, documents, whole_text, written
+from lodestone.llm.exact_dedup import located
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 TILE = 512
@@ -54,14 +58,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, fp), and at where docs has a locator: fp is the fingerprint's 64 bits as a signed long."""
+    at = [c for c in docs.columns if c == "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype="<u8")
-            yield pa.record_batch([b.column(0), pa.array(found.view("<i8"))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(found.view("<i8")), *b.columns[2:]], names=["doc_id", "fp", *at])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"), *at).mapInArrow(
+        run, "doc_id long, fp long" + ", at struct<file: string, row: long>" * len(at)
+    )
 
 
 class Forest:
@@ -140,19 +147,31 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return dealt.groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
+def rooted(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, doc_id, root): each distinct fingerprint, its least doc_id, and the least fingerprint that links reach."""
+    same = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    roots = components(links(same.select(F.col("fp").alias("node"), "fp"), radius))
+    return same.join(roots, same["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (the least doc_id that links reach)."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
-    same = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    roots = components(links(same, radius))
-    named = same.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps = written(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
+    named = written(rooted(fps, radius), "rooted")
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with all their columns."""
-    stay = classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["stays"], "left_semi")
+    """One row of docs for each component, with all its columns."""
+    rows = located(docs)
+    fps = written(fingerprints(rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "at")), "fingerprints")
+    # the first row of each fingerprint, then of each component: both aggregates are combined before the shuffle
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "at")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first"))
+    stay = first.join(rooted(fps).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.at").alias("stays"))
+    return rows.join(stay, rows["at"] == stay["stays"], "left_semi").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,15 @@ def test_simhash_brute_force(spark, odd, none):
     assert got[10_001][0] == 0 and simhash.classes(none).count() == 0
 
 
+def test_simhash_keeps_rows_without_an_id_of_their_own(spark):
+    """A null doc_id or a shared one loses a row only where the row has a near copy that stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (None, c), (None, d), (None, d + " end"), (3, c)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text[0]) for r in simhash.keep_one(docs).collect())
+    assert got == [(0, "d"), (1, "a"), (2, "b"), (3, "c")]
+    assert {(r.doc_id, r.component_id) for r in simhash.classes(docs).collect()} == {(1, 1), (2, 1), (2, 2), (None, 3), (None, None), (3, 3)}
+
+
 def test_components_of_a_long_path(spark):
     from lodestone.llm.common import components
 
