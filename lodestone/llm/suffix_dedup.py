@@ -7,6 +7,11 @@ K words, then by doc_id and place; equal passages are neighbours there. Each suf
 before it, and texts that are neighbours somewhere are read once per pair and their matches extended word by word
 to the left and the right. A suffix has one predecessor, so a passage in n texts makes n - 1 pairs.
 
+The order looks to the right only. Where a first block occurs three times or more and what lies around it is not the
+same everywhere, a text can sort between two others whose common passage lies to its left. The windows of MIN_WORDS
+words through such places are therefore hashed and ordered in the same way, so that each occurrence of a window is
+compared with the one before it (see `window_links`). Every word of every repeated window is thus in some match.
+
 The order is kept within each first block: groups are split by ranges, a hot block included, because the
 neighbour across a range's edge is carried over from the range before (see `neighbours`).
 
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents, whole_text, written
 
 K, WINDOW = 16, 34
-#: Shortest match that is reported, in words. K + WINDOW - 1 = 49 makes sure that none is missed.
+#: Shortest match that is reported, in words: at least K + WINDOW - 1 = 49, so that each holds a retained place.
 MIN_WORDS = 50
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,12 +76,29 @@ def minimiser_places(h: np.ndarray) -> np.ndarray:
     return np.nonzero(h == most[: len(h)])[0]
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """A row for each retained suffix: doc_id, p (its first word), b1, b2, b3 (hashes of its blocks; past the end 0)."""
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash of each row of hashes."""
+    with np.errstate(over="ignore"):
+        h = parts[0]
+        for x in parts[1:]:
+            h = (h ^ (h >> np.uint64(31))) * BASE + x
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+
+def _window_hashes(h: np.ndarray, min_words: int) -> np.ndarray:
+    """Hash of the min_words words from each position on, by the block hashes h that cover them."""
+    n = max(0, len(h) + K - min_words)
+    return _mixed([h[i : i + n] for i in [*range(0, min_words - K, K), min_words - K]])
+
+
+def suffixes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each retained suffix: doc_id, p (its first word), b1, b2, b3 (hashes of its blocks; past the end 0),
+    around (hash of all windows of min_words words through its first block; null where the text ends before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places, blocks = [], [], []
+            ids, places, blocks, whole = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = text.as_py().split()
                 if len(words) < K:
@@ -84,16 +106,69 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 h = _block_hashes(_word_hashes(words))
                 p = minimiser_places(h)
                 far = np.concatenate([h, np.zeros(2 * K, dtype=np.uint64)])
+                w, left = _window_hashes(h, min_words), p - (min_words - K)
+                inside = (left >= 0) & (p < len(w))
+                around = np.zeros(len(p), dtype=np.uint64)
+                around[inside] = _mixed([w[left[inside]], w[p[inside]]])
                 ids.append(np.full(len(p), doc, dtype=np.int64))
                 places.append(p.astype(np.int32))
-                blocks.append(np.stack([far[p], far[p + K], far[p + 2 * K]]))
+                blocks.append(np.stack([far[p], far[p + K], far[p + 2 * K], around]))
+                whole.append(inside)
             if ids:
-                b = np.concatenate(blocks, axis=1).view(np.int64)
-                yield pa.record_batch([np.concatenate(ids), np.concatenate(places), *b], names=["doc_id", "p", "b1", "b2", "b3"])
+                *b, around = np.concatenate(blocks, axis=1).view(np.int64)
+                around = pa.array(around, mask=~np.concatenate(whole))
+                yield pa.record_batch([np.concatenate(ids), np.concatenate(places), *b, around], names=["doc_id", "p", "b1", "b2", "b3", "around"])
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, p int, b1 long, b2 long, b3 long"
+        run, "doc_id long, p int, b1 long, b2 long, b3 long, around long"
+    )
+
+
+def windows(docs: DataFrame, rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(b1, doc_id, p): b1 the hash of a window of min_words words, p the place of its least block hash, the first if
+    there are several. Only windows whose least block may be ordered apart from its like: it occurs three times or
+    more, and not with the same windows around it each time."""
+    blocks = rows.groupBy("b1").agg(
+        F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most"), F.count("around").alias("whole")
     )
+    apart = blocks.filter("n > 2 and (whole < n or least <> most)").select("b1")
+    of = rows.select("doc_id", "b1").join(apart, "b1", "left_semi").groupBy("doc_id").agg(F.collect_set("b1").alias("blocks"))
+    text = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                words = text.as_py().split()
+                if len(words) < min_words:
+                    continue
+                h = _block_hashes(_word_hashes(words))
+                w, size = _window_hashes(h, min_words), min_words - K + 1
+                least = _window_min(h, size)
+                wanted = np.nonzero(np.isin(least, blocks.values.to_numpy().view(np.uint64)))[0]
+                if not len(wanted):
+                    continue
+                # the first position of the window's least value: the next position at or after its start that has it
+                order = np.lexsort((np.arange(len(h)), h))
+                sorted_h = h[order]
+                lo = np.searchsorted(sorted_h, least[wanted], "left")
+                hi = np.searchsorted(sorted_h, least[wanted], "right")
+                at = order[lo]
+                for i in np.nonzero((hi - lo > 1) & (at < wanted))[0]:
+                    same = order[lo[i] : hi[i]]
+                    at[i] = same[np.searchsorted(same, wanted[i])]
+                out.append((w[wanted].view(np.int64), np.full(len(wanted), doc, dtype=np.int64), at.astype(np.int32)))
+            if out:
+                yield pa.record_batch([np.concatenate(x) for x in zip(*out)], names=["b1", "doc_id", "p"])
+
+    return text.join(of, "doc_id").select("doc_id", "text", "blocks").mapInArrow(run, "b1 long, doc_id long, p int")
+
+
+def window_links(docs: DataFrame, rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(a, p, b, q): places in the same window of two texts that come one after the other among all that hold it."""
+    found = written(windows(docs, rows, min_words), "windows")
+    order = ["b1", "doc_id", "p"]
+    return neighbours(found.repartitionByRange(*order).sortWithinPartitions(*order)).distinct()
 
 
 ORDER = ["b1", "b2", "b3", "doc_id", "p"]
@@ -162,8 +237,10 @@ def _extend(a: list, b: list, places: list[tuple[int, int]], min_words: int) ->
 
 def matches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each extended match of neighbours: doc_id, start, other_doc_id, other_start, n_words (places in words)."""
-    rows = suffixes(docs)
-    pairs = neighbours(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER))
+    if min_words < K + WINDOW - 1:
+        raise ValueError(f"shorter matches than {K + WINDOW - 1} words can be missed")
+    rows = written(suffixes(docs, min_words), "suffixes")
+    pairs = neighbours(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)).unionByName(window_links(docs, rows, min_words))
     # one row for each pair of texts: the lesser doc_id first
     flip = F.col("a") <= F.col("b")
     pairs = pairs.select(

@@ -178,6 +178,41 @@ def test_suffix_dedup_finds_repeats(spark, odd, none):
     assert found == want
 
 
+def uncovered(docs, found, n=50):
+    """Words in repeated windows of n words that no match covers. docs: doc_id -> words."""
+    places = defaultdict(list)
+    for k, w in docs.items():
+        for i in range(len(w) - n + 1):
+            places[hash(tuple(w[i : i + n]))].append((k, i))
+    want = {(k, i + j) for v in places.values() if len(v) > 1 for k, i in v for j in range(n)}
+    have = set()
+    for r in found:
+        have |= {(r.doc_id, r.start + j) for j in range(r.n_words)} | {(r.other_doc_id, r.other_start + j) for j in range(r.n_words)}
+    return want - have
+
+
+def test_suffix_dedup_text_sorts_between(spark):
+    """Each pair of four texts shares 40 to 60 words around one common block, to the left of it and to the right by turns."""
+    rng = random.Random(5)
+    docs, n = {}, 0
+    for g in range(60):
+        left, mid, right = ([f"{x}{g}_{i}" for i in range(40)] for x in "lmr")
+        for _ in range(4):
+            a, b = rng.randint(0, 40), rng.randint(0, 40)
+            docs[n] = [f"h{n}_{i}" for i in range(60)] + left[40 - a :] + mid + right[:b] + [f"t{n}_{i}" for i in range(60)]
+            n += 1
+    found = suffix_dedup.matches(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")).collect()
+    for r in found:
+        assert docs[r.doc_id][r.start : r.start + r.n_words] == docs[r.other_doc_id][r.other_start : r.other_start + r.n_words]
+    assert not uncovered(docs, found)
+
+
+def test_suffix_dedup_covers_every_word(spark):
+    large = SF.replace("sf0.001", "sf0.1")
+    docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text").collect()}
+    assert not uncovered(docs, registry.QUERIES["op9_suffix_dedup"](spark, large).collect())
+
+
 def test_language_id_held_out(spark, odd, none):
     got = registry.QUERIES["op8_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.95
