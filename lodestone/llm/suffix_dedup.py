@@ -131,7 +131,8 @@ def windows(docs: DataFrame, rows: DataFrame, min_words: int = MIN_WORDS) -> Dat
     blocks = rows.groupBy("b1").agg(
         F.count("*").alias("n"), F.min("around").alias("least"), F.max("around").alias("most"), F.count("around").alias("whole")
     )
-    apart = blocks.filter("n > 2 and (whole < n or least <> most)").select("b1")
+    # written, so that the join below is between two plain shuffles and a block held by very many texts is split
+    apart = written(blocks.filter("n > 2 and (whole < n or least <> most)").select("b1"), "apart")
     of = rows.select("doc_id", "b1").join(apart, "b1", "left_semi").groupBy("doc_id").agg(F.collect_set("b1").alias("blocks"))
     text = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
 
