@@ -4,9 +4,13 @@ A word known from labelled texts scores by its log frequency in each language. A
 character n-grams, the longest length of which any n-gram is known, and scores by their mean log frequency.
 A text gets the language of the greatest sum, and as its score that language's share of the posterior.
 
-The model is fitted on a bounded sample of the labelled texts: about FIT_TEXTS of them, chosen by a hash of
-doc_id with a rate worked out from their number. The sample bounds the model, which alone goes to the executors
-as a broadcast. Every text is scored, whole.
+The model is fitted on a bounded sample of the labelled texts: of each language about an equal part of FIT_TEXTS,
+and about LEAST_TEXTS at least, or all that it has, chosen by a hash of doc_id with a rate worked out from the
+language's own number of texts. So no language is left out because others have more texts. The sample bounds the
+model, which alone goes to the executors as a broadcast. Every text is scored, whole.
+
+Smoothing is by share: a word or n-gram not seen in a language has the same frequency in all of them, so that a
+language with few texts is not favoured by words that it lacks.
 
 Defined cases: a null text or one without letters is `und` with score 0; without labelled texts every text is
 `und`; ties go to the first language in alphabetical order; repeated rows score alike; an empty table gives
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents, whole_text
 
 FIT_TEXTS = 5_000
+#: Texts sampled of each language at least, or all that it has: the sample has FIT_TEXTS or LEAST_TEXTS a language at most, about.
+LEAST_TEXTS = 250
 #: Words kept in the model: those seen twice or more in the sample. Lengths of n-grams, longest first.
 MIN_COUNT, LENGTHS = 2, (5, 4, 3, 2, 1)
 SMOOTH = 0.5
@@ -39,9 +45,15 @@ def held_out() -> Column:
 def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict:
     """docs: text and lang of labelled rows. The model: languages and the log frequencies of words and n-grams."""
     labelled = docs.filter("lang is not null and text is not null")
-    n = labelled.count()
-    rate = min(1.0, fit_texts / max(1, n))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    bound = max(LEAST_TEXTS, fit_texts / max(1, len(counts)))
+    span = 1 << 30
+    upto = docs.sparkSession.createDataFrame(
+        [(k, int(min(1.0, bound / n) * span)) for k, n in counts.items()], "of_lang string, upto long"
+    )
+    sample = labelled.join(F.broadcast(upto), F.col("lang") == F.col("of_lang")).filter(
+        F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.col("upto")
+    )
     words = (
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("word"))
         .groupBy("lang", "word")
@@ -60,7 +72,7 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict:
         return {r["word"]: r["by"] for r in rows}
 
     known, parts = table(words), table(grams)
-    langs = sorted({k for by in known.values() for k in by})
+    langs = sorted({k for by in [*known.values(), *parts.values()] for k in by})
 
     def logs(counts: dict, size) -> dict:
         totals: dict = {}
@@ -68,7 +80,13 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict:
             t = totals.setdefault(size(w), np.zeros(len(langs)))
             t += [by.get(k, 0) for k in langs]
         kinds = Counter(size(w) for w in counts)
-        return {w: np.log((np.array([by.get(k, 0) for k in langs]) + SMOOTH) / (totals[size(w)] + SMOOTH * kinds[size(w)])).astype(np.float32) for w, by in counts.items()}
+
+        def share(w: str, by: dict) -> np.ndarray:
+            t = totals[size(w)]
+            unseen = SMOOTH / t.mean()
+            return (np.array([by.get(k, 0) for k in langs]) / np.maximum(t, 1) + unseen) / (1 + unseen * kinds[size(w)])
+
+        return {w: np.log(share(w, by)).astype(np.float32) for w, by in counts.items()}
 
     return {"langs": langs, "words": logs(known, lambda w: 0), "grams": logs(parts, len)}
 

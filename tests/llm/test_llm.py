@@ -222,6 +222,16 @@ def test_language_id_held_out(spark, odd, none):
     assert language_id.predict(odd, language_id.fit(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_keeps_a_rare_language(spark):
+    """One text in 3,000 is in the rare language; none of the sample's bound goes to it by its share alone."""
+    rows_ = [(i, "the cat and the dog sat on the mat with a bird", "en") for i in range(6_000)]
+    rows_ += [(10_000 + i, "zwei kleine hunde liefen schnell durch den garten", "de") for i in range(2)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, fit_texts=20)
+    out = {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).filter("doc_id >= 10000 or doc_id < 10").collect()}
+    assert model["langs"] == ["de", "en"] and out[10_000] == out[10_001] == "de" and out[0] == "en"
+
+
 LETTERS = "ab aA\n\t  é漢́'s12.,!x\r\0İΣ<|endoftext|>"
 
 
