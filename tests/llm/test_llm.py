@@ -179,16 +179,23 @@ def test_suffix_dedup_finds_repeats(spark, odd, none):
 
 
 def uncovered(docs, found, n=50):
-    """Words in repeated windows of n words that no match covers. docs: doc_id -> words."""
-    places = defaultdict(list)
+    """Words in windows of n words with an earlier copy that no row of their own doc_id covers. docs: doc_id -> words, in order."""
+    seen, want = set(), set()
     for k, w in docs.items():
         for i in range(len(w) - n + 1):
-            places[hash(tuple(w[i : i + n]))].append((k, i))
-    want = {(k, i + j) for v in places.values() if len(v) > 1 for k, i in v for j in range(n)}
-    have = set()
+            h = hash(tuple(w[i : i + n]))
+            if h in seen:
+                want |= {(k, i + j) for j in range(n)}
+            seen.add(h)
+    return want - {(r.doc_id, r.start + j) for r in found for j in range(r.n_words)}
+
+
+def suffix_matches(spark, docs):
+    found = suffix_dedup.matches(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")).collect()
     for r in found:
-        have |= {(r.doc_id, r.start + j) for j in range(r.n_words)} | {(r.other_doc_id, r.other_start + j) for j in range(r.n_words)}
-    return want - have
+        assert docs[r.doc_id][r.start : r.start + r.n_words] == docs[r.other_doc_id][r.other_start : r.other_start + r.n_words]
+        assert (r.other_doc_id, r.other_start) < (r.doc_id, r.start)
+    return found
 
 
 def test_suffix_dedup_text_sorts_between(spark):
@@ -201,15 +208,32 @@ def test_suffix_dedup_text_sorts_between(spark):
             a, b = rng.randint(0, 40), rng.randint(0, 40)
             docs[n] = [f"h{n}_{i}" for i in range(60)] + left[40 - a :] + mid + right[:b] + [f"t{n}_{i}" for i in range(60)]
             n += 1
-    found = suffix_dedup.matches(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")).collect()
-    for r in found:
-        assert docs[r.doc_id][r.start : r.start + r.n_words] == docs[r.other_doc_id][r.other_start : r.other_start + r.n_words]
-    assert not uncovered(docs, found)
+    assert not uncovered(docs, suffix_matches(spark, docs))
+
+
+def test_suffix_dedup_names_every_copy(spark):
+    """Passages of 51 to 80 words in 50 texts each, among texts that share only 16 words of them: every copy but the first has its own rows."""
+    rng, docs = random.Random(6), {}
+    for size in (51, 55, 60, 70, 80):
+        passage = [f"p{size}_{i}" for i in range(size)]
+        for k in range(100):
+            n = len(docs)
+            at = rng.randint(0, size - 16)
+            docs[n] = [f"h{n}_{i}" for i in range(rng.randint(0, 80))] + (passage if k % 2 else passage[at : at + 16]) + [f"t{n}_{i}" for i in range(rng.randint(0, 80))]
+    docs = {k: docs[i] for k, i in enumerate(rng.sample(range(len(docs)), len(docs)))}
+    assert not uncovered(docs, suffix_matches(spark, docs))
+
+
+def test_suffix_dedup_rows_without_an_id_of_their_own(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows_ = [(1, a), (1, b), (None, a), (None, ["c", *b]), (2, ["d"])]
+    found = suffix_dedup.matches(spark.createDataFrame([(k, " ".join(w)) for k, w in rows_], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.other_doc_id, r.other_start, r.n_words) for r in found) == [(None, 0, 1, 0, 60), (None, 1, 1, 0, 60)]
 
 
 def test_suffix_dedup_covers_every_word(spark):
     large = SF.replace("sf0.001", "sf0.1")
-    docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text").collect()}
+    docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()}
     assert not uncovered(docs, registry.QUERIES["op9_suffix_dedup"](spark, large).collect())
 
 
