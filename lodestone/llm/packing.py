@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
 Documents are encoded and cut into pieces of at most CAPACITY ids. Pieces of one length are interchangeable, and
-so are sequences whose gap and contents agree, so a round works on classes: lengths and gaps, both in order of
-size. The sweep goes from the longest class down. A class is given its successor among the gaps, the smallest that
-holds it; its pieces and the sequences with that gap are matched in order of rank, as many as there are of
-both; the gaps are updated, and the round is repeated with what is left, until no gap holds the class: then it opens
-as many new sequences as its pieces need by themselves. A class moves as a whole, so there are at most CAPACITY lengths however many
-documents there are: the rounds run on this summary, while ranking all pieces within their length and handing
-each its sequence and offset are distributed.
+so are sequences with the same gap that were filled alike: both are held as runs (size, first rank or sequence, number), which
+is what makes a round small, however many documents there are. A round range-sorts runs of pieces and of gaps together
+by size, matches each run of pieces with its successor among the gaps by descending sweeps over the ranges, resolves
+conflicts by rank (the longest first, then the lower rank), and writes the matches, the updated gaps and what is
+left, from which the next round starts. Ranking all pieces within their length and handing each its sequence and
+offset are joins over the pieces themselves. The number of rounds depends on the lengths, not on the documents:
+about a dozen.
 
 Defined cases: a null or empty text is its end id alone; equal lengths are ranked by task and place within it;
 repeated rows are packed each; an empty table gives an empty result; only doc_id and text are read.
@@ -15,7 +15,6 @@ repeated rows are packed each; an empty table gives an empty result; only doc_id
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,12 @@ from lodestone.llm.common import documents, whole_text, written
 from lodestone.llm.tokens import TEXTS, encoder
 
 CAPACITY, END_ID = 2048, 0
+#: Ranges of a round; lengths of a band down to this part of its longest; rows of slots that are broadcast, at most.
+RANGES, BAND, MOST_BROADCAST = 8, 4, 200_000
+#: Kinds of runs, in the order that a sweep takes them at equal size.
+GAP, PIECE, SLOT = 0, 1, 2
+RUNS_DDL = "kind int, size long, lo long, n long, first long, offset long"
+RUNS = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in ("size", "lo", "n", "first", "offset")])
 PIECES = "part int, doc_id long, piece int, start long, length long, local_rank long, ids binary"
 
 
@@ -62,57 +67,108 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """counts: number of pieces of each length. Slots (length, lo, hi, sequence, offset): the pieces of that length
-    ranked lo to hi - 1 go to the sequences from `sequence` on, one each, at that offset."""
-    full: list[tuple[int, list]] = []
-    gaps: dict[int, list[tuple[int, list]]] = {}  # by gap: sequences that agree, their pieces as (length, lowest rank, offset)
-    sizes: list[int] = []  # the gaps there are, in order
-    for length in sorted(counts, reverse=True):
-        used, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):  # the successor: the smallest gap that holds the length
-                gap = sizes[at]
-                n, held = gaps[gap].pop()
-            else:  # none: as many new sequences as these pieces need by themselves
-                gap, n, held = capacity, -(-left // (capacity // length)), []
-            m = min(n, left)
-            if m < n:
-                gaps[gap].append((n - m, [(k, lo + m, o) for k, lo, o in held]))
-            if at < len(sizes) and not gaps[gap]:
-                del gaps[gap], sizes[at]
-            held = [*held, (length, used, capacity - gap)]
-            used, left, gap = used + m, left - m, gap - length
-            if not gap:
-                full.append((m, held))
+def sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """One descending sweep over a range of runs in order of size, a gap before pieces of its size.
+
+    Gaps passed so far lie on a stack, the smallest on top, so each run of pieces meets its successor first: the
+    smallest gap that holds it. Runs that want the same gap are served in order, longer pieces first, then by rank;
+    a sequence takes as many pieces of the run as fit. Gaps that a match leaves are used from the next round on.
+    """
+    stack: list[list[int]] = []
+    for batch in batches:
+        out = []
+        for kind, size, lo, n, first, offset in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == GAP:
+                stack.append([size, lo, n])
+            elif kind == SLOT:
+                out.append((kind, size, lo, n, first, offset))
+            if kind != PIECE:
                 continue
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((m, held))
-    slots, base = [], 0
-    for n, held in [*full, *(x for same in gaps.values() for x in same)]:
-        slots += [(length, lo, lo + n, base, offset) for length, lo, offset in held]
-        base += n
-    return slots
+            while n and stack:
+                gap, sequence, free = stack[-1]
+                layers = min(n, gap // size)
+                m = min(free, n // layers)
+                at = capacity - gap
+                out += [(SLOT, size, lo + j * m, m, sequence, at + j * size) for j in range(layers)]
+                if gap > layers * size:
+                    out.append((GAP, gap - layers * size, sequence, m, None, None))
+                lo, n = lo + layers * m, n - layers * m
+                stack[-1][1:] = [sequence + m, free - m]
+                if free == m:
+                    stack.pop()
+            if n:
+                out.append((PIECE, size, lo, n, None, None))
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 6, RUNS)], schema=RUNS)
+    out = [(GAP, size, lo, n, None, None) for size, lo, n in stack]
+    yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 6, RUNS)], schema=RUNS)
+
+
+def matched(runs: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """One round: the runs are range-sorted by size and each range is swept by itself; what finds no partner within its
+    range meets the rest in a second sweep. A range's gaps are too small for the pieces of the ranges above it, so
+    the two sweeps match as one over everything would; the second one has at most two runs for each size left."""
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return sweep(batches, capacity)
+
+    order = [F.col("size").desc(), F.col("kind"), F.col("lo")]
+    near = runs.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(swept, RUNS_DDL)
+    return near.repartition(1).sortWithinPartitions(*order).mapInArrow(swept, RUNS_DDL)
+
+
+def slots(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """counts: (length, n), a row for each length. (size, lo, n, first, offset): the pieces of that length
+    ranked lo to lo + n - 1 go to the sequences from `first` on, one each, at that offset.
+
+    Each round is written and read again. Lengths come in bands, the longest first, so that short pieces are left for
+    the gaps that long ones leave. Sequences are opened, as many as the waiting pieces need by themselves, when
+    a band begins with too little room or a round matches nothing.
+    """
+    spark = counts.sparkSession
+    none = F.lit(None).cast("long")
+    total = counts.agg(F.coalesce(F.sum(F.col("length") * F.col("n")), F.lit(0))).first()[0]
+    pieces_ = counts.select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), F.lit(0).cast("long").alias("lo"), "n", none.alias("first"), none.alias("offset"))
+
+    def opened(first: int, tokens: int) -> tuple[DataFrame, int]:
+        n = -(-tokens // capacity)
+        return spark.createDataFrame([(GAP, capacity, first, n, None, None)], RUNS_DDL), first + n
+
+    gaps, sequences_ = opened(0, total)
+    done = spark.createDataFrame([], RUNS_DDL)
+    top = capacity + 1
+    while top > 1:
+        low = -(-top // BAND) if top > BAND else 1
+        runs = gaps.unionByName(pieces_.filter((F.col("size") < top) & (F.col("size") >= low)))
+        while True:
+            runs = written(matched(runs, capacity), "round")
+            waiting = F.when(F.col("kind") == PIECE, F.col("size") * F.col("n"))
+            left, hits = runs.agg(F.coalesce(F.sum(waiting), F.lit(0)), F.count_if(F.col("kind") == SLOT)).first()
+            done = done.unionByName(runs.filter(F.col("kind") == SLOT))
+            runs = runs.filter(F.col("kind") != SLOT)
+            if not left:
+                break
+            if not hits:
+                more, sequences_ = opened(sequences_, left)
+                runs = runs.unionByName(more)
+        gaps, top = runs, low
+    return done.select("size", "lo", "n", "first", "offset")
 
 
 def place(table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """table: rows of pieces(), without ids, written once (its order must not change). Adds sequence_id and offset."""
-    spark = table.sparkSession
     here = written(table.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     before = here.select(
         F.col("part").alias("part_"), F.col("length").alias("length_"),
         (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"),
     )
-    counts = {r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    slots = spark.createDataFrame(plan(counts, capacity), "size long, lo long, hi long, first long, offset long")
+    places = written(slots(here.groupBy("length").agg(F.sum("n").alias("n")), capacity), "slots")
+    if places.count() <= MOST_BROADCAST:  # a few for each of at most `capacity` lengths; else the join is by length
+        places = F.broadcast(places)
     ranked = table.join(before, (table["part"] == before["part_"]) & (table["length"] == before["length_"])).withColumn("rank", F.col("local_rank") + F.col("before"))
-    fits = (ranked["length"] == slots["size"]) & (ranked["rank"] >= slots["lo"]) & (ranked["rank"] < slots["hi"])
-    placed = ranked.join(F.broadcast(slots), fits)  # a few slots for each of at most `capacity` lengths
-    kept = [c for c in table.columns if c not in ("part", "local_rank")]
-    return placed.select(*kept, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    own = F.col("rank") - places["lo"]
+    placed = ranked.join(places, (ranked["length"] == places["size"]) & (own >= 0) & (own < places["n"]))
+    kept = [F.col(c) for c in table.columns if c not in ("part", "local_rank")]
+    return placed.select(*kept, (places["first"] + own).alias("sequence_id"), places["offset"])
 
 
 def sequences(table: DataFrame, placed: DataFrame) -> DataFrame:
