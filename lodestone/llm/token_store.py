@@ -2,10 +2,10 @@
 
 Documents in ascending doc_id order are encoded, an end id is put after each, and the ids are cut into shards.
 In a shard, frequent pairs of adjacent ids are replaced by new symbols (nonterminals), again and again, until no
-pair is frequent: Re-Pair, a round replacing all pairs that occur at least half as often as the commonest one.
+pair occurs LEAST_PAIRS times: Re-Pair, a round replacing all pairs that occur at least half as often as the commonest.
 A shard is one row: its documents and their lengths, the rules (a left and right symbol each), the length that
-each rule expands to, and the remaining sequence. The expansion lengths allow any stretch of ids to be decoded
-without the rest (`decode_range`).
+each rule expands to, and the remaining sequence. The expansion lengths tell where each symbol's ids stand, so any
+range of ids is decoded without the rest (`Shard.ids`; `read` takes documents and ranges).
 
 Defined cases: a null or empty text is its end id alone; rows that share a doc_id follow each other in order of
 their text; a text longer than a shard makes one shard; an empty table makes no shard; only doc_id and text
@@ -14,7 +14,6 @@ are read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,10 @@ from lodestone.llm.common import documents, scratch, whole_text
 from lodestone.llm.tokens import TEXTS, encoder
 
 END_ID = 0
-#: Ids of a shard, about; least number of times that a replaced pair occurs in it; rounds at most.
-SHARD_IDS, LEAST_PAIRS, ROUNDS = 1 << 18, 48, 12
+#: Ids of a shard, about; least number of times that a replaced pair occurs in it.
+SHARD_IDS, LEAST_PAIRS = 1 << 18, 48
+#: Bits of the hash that counts pairs, and its odd multipliers, used by turns.
+SLOT_BITS, ODD = 20, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 FIELDS = [
     ("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("terminals", pa.int32()),
@@ -36,33 +37,41 @@ FIELDS = [
 DDL = "part int, shard int, start long, n_ids long, doc_ids array<long>, doc_lens array<long>, terminals int, rules binary, lengths binary, sequence binary"
 
 
-def _frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places where a frequent pair begins, their pairs' numbers, and the pairs (as left << 32 | right), commonest first.
 
-    A count of hashed pairs finds the few places worth an exact count.
+    Pairs are counted by a hash of SLOT_BITS bits, and one pair stands for each slot; those it hides are met in a
+    later round, which hashes otherwise. Only when no pair that stands for its slot is frequent are the others sorted.
     """
-    a, b = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    slot = ((a * np.uint64(0x9E3779B1) ^ (b * np.uint64(0x85EBCA77))) >> np.uint64(7)).astype(np.int64) & 0xFFFFF
-    places = np.nonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)[0]
-    pairs, number, count = np.unique(a[places] << np.uint64(32) | b[places], return_inverse=True, return_counts=True)
-    if not len(count) or count.max() < least:
-        return places[:0], number[:0], pairs[:0]
+    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    slot = (pairs * np.uint64(ODD[salt % len(ODD)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    places = np.nonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least)[0]
+    pairs, slot = pairs[places], slot[places]
+    holder = np.zeros(1 << SLOT_BITS, np.uint64)
+    holder[slot] = pairs
+    own = holder[slot] == pairs
+    count = np.bincount(slot[own], minlength=1 << SLOT_BITS)
+    if count.max() >= least:
+        places, number = places[own], slot[own]
+    else:
+        holder, number, count = np.unique(pairs, return_inverse=True, return_counts=True)
+        if not len(count) or count.max() < least:
+            return places[:0], places[:0], pairs[:0]
     chosen = np.nonzero(count >= max(least, count.max() // 2))[0]
     chosen = chosen[np.argsort(-count[chosen], kind="stable")]
-    rank = np.full(len(pairs), -1)
+    rank = np.full(len(count), -1)
     rank[chosen] = np.arange(len(chosen))
-    keep = rank[number] >= 0
-    return places[keep], rank[number[keep]], pairs[chosen]
+    rank = rank[number]
+    keep = rank >= 0
+    return places[keep], rank[keep], holder[chosen]
 
 
 def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as rows of left and right, expansion lengths of the rules, sequence)."""
-    seq, rules, lengths = ids.astype(np.uint32), [], [np.zeros(0, np.int64)]
-    n = terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        places, number, pairs = _frequent(seq, LEAST_PAIRS)
+    seq, rules, lengths = ids.astype(np.uint32), [], np.ones(terminals, np.int64)
+    round_ = 0
+    while len(seq) > 1:
+        places, number, pairs = _frequent(seq, LEAST_PAIRS, round_)
         if not len(pairs):
             break
         # of places in a row, which would overlap, every second one
@@ -71,36 +80,67 @@ def compress(ids: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, n
         even = (at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 0
         places, number = places[even], number[even]
         left, right = (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        size = np.concatenate(lengths)
-        whole = [np.where(x < terminals, 1, size[np.maximum(x.astype(np.int64) - terminals, 0)] if len(size) else 1) for x in (left, right)]
-        seq[places] = n + number
-        seq = np.delete(seq, places + 1)
+        seq[places] = len(lengths) + number
+        stay = np.ones(len(seq), bool)
+        stay[places + 1] = False
+        seq = seq[stay]
         rules.append(np.stack([left, right], axis=1))
-        lengths.append(whole[0] + whole[1])
-        n += len(pairs)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), np.concatenate(lengths), seq
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of a sequence: nonterminals are replaced by their rules until none is left."""
-    seq = seq.astype(np.uint32)
-    while len(at := np.nonzero(seq >= terminals)[0]):
-        new = np.ones(len(seq), dtype=np.int64)
-        new[at] = 2
-        to = (np.cumsum(new) - new)[at]
-        pair = rules[seq[at] - terminals]
-        seq = np.repeat(seq, new)
-        seq[to], seq[to + 1] = pair[:, 0], pair[:, 1]
-    return seq
-
-
-def decode_range(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int, start: int, stop: int) -> np.ndarray:
-    """ids[start:stop] of a shard: only the symbols that reach into the range are expanded."""
-    size = np.where(seq < terminals, 1, lengths[np.maximum(seq.astype(np.int64) - terminals, 0)] if len(lengths) else 1)
-    end = np.cumsum(size)
-    i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
-    base = int(end[i - 1]) if i else 0
-    return expand(seq[i:j], rules, terminals)[start - base : stop - base]
+        lengths = np.concatenate([lengths, lengths[left] + lengths[right]])
+        round_ += 1
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), lengths[terminals:], seq
+
+
+def _dealt(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + lens[i] - 1 of each i, one after the other."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+
+class Shard:
+    """A shard's sequence, of which any range of ids can be decoded."""
+
+    def __init__(self, seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, terminals: int):
+        self.seq, self.terminals, self.lengths = seq, terminals, lengths.astype(np.int64)
+        self.size = np.ones(len(seq), np.int64)
+        long = seq >= terminals
+        self.size[long] = self.lengths[seq[long] - terminals]
+        self.end = np.cumsum(self.size)
+        # every rule written out, by those before it
+        self.at = np.cumsum(self.lengths) - self.lengths
+        self.whole = np.zeros(int(self.lengths.sum()), np.uint32)
+        spans = list(zip(self.at.tolist(), (self.at + self.lengths).tolist()))
+        for (lo, hi), (left, right) in zip(spans, rules.tolist()):
+            mid = lo + 1
+            if left < terminals:
+                self.whole[lo] = left
+            else:
+                s, e = spans[left - terminals]
+                mid = lo + e - s
+                self.whole[lo:mid] = self.whole[s:e]
+            if right < terminals:
+                self.whole[mid] = right
+            else:
+                s, e = spans[right - terminals]
+                self.whole[mid:hi] = self.whole[s:e]
+
+    def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """ids[start:stop] of the shard: the lengths tell which symbols reach into the range, and only they are expanded."""
+        n = int(self.end[-1]) if len(self.end) else 0
+        stop = n if stop is None else min(stop, n)
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        i, j = np.searchsorted(self.end, start, "right"), np.searchsorted(self.end, stop, "left") + 1
+        seq, size = self.seq[i:j], self.size[i:j]
+        base = int(self.end[i] - self.size[i])
+        to = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.uint32)
+        long = seq >= self.terminals
+        out[to[~long]] = seq[~long]
+        out[_dealt(to[long], size[long])] = self.whole[_dealt(self.at[seq[long] - self.terminals], size[long])]
+        return out[start - base : stop - base]
+
+
+def shard_of(row: dict) -> Shard:
+    return Shard(np.frombuffer(row["sequence"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4"), row["terminals"])
 
 
 def shards(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -143,19 +183,30 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     shards(docs, tokenizer).write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit)."""
+def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit).
+
+    doc_ids: only these documents, from shards that hold one of them. start, stop: of each document's ids only this
+    range, which alone is decoded.
+    """
+    wanted = None if doc_ids is None else np.array(sorted(set(doc_ids)), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = expand(np.frombuffer(r["sequence"], "<u4"), np.frombuffer(r["rules"], "<u4").reshape(-1, 2), r["terminals"]).astype("<u4").tobytes()
+                shard, docs = shard_of(r), pa.array(r["doc_ids"], pa.int64())
                 lens = np.array(r["doc_lens"], dtype=np.int64)
                 ends = np.cumsum(lens)
                 starts = ends - lens
-                cut = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                if wanted is None and not start and stop is None:
+                    ids = shard.ids().astype("<u4").tobytes()
+                    cut = [ids[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]
+                else:
+                    mine = np.arange(len(lens)) if wanted is None else np.nonzero(np.isin(docs.fill_null(-1), wanted) & np.asarray(docs.is_valid()))[0]
+                    docs, lens, starts, ends = docs.take(pa.array(mine)), lens[mine], starts[mine], ends[mine]
+                    cut = [shard.ids(s + start, e if stop is None else min(e, s + stop)).astype("<u4").tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.record_batch(
-                    [pa.array([r["part"]] * len(cut), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + starts), pa.array(lens), pa.array(cut, pa.binary())],
+                    [pa.array([r["part"]] * len(cut), pa.int32()), docs, pa.array(r["start"] + starts), pa.array(lens), pa.array(cut, pa.binary())],
                     names=["part", "doc_id", "start", "n_tokens", "ids"],
                 )
 
@@ -163,8 +214,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # one row for each task that wrote: their running total gives every shard its place
     totals = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    if wanted is not None:
+        table = table.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(x)) for x in wanted])))
     rows = table.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    return rows.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

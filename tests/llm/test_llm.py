@@ -2,6 +2,8 @@
 
 import random
 import sys
+import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
 from pathlib import Path
 
@@ -289,12 +291,36 @@ def test_byte_bpe_equals_tiktoken(spark, odd, none):
     assert byte_bpe.encode(none, path, P.PATTERN).count() == 0
 
 
-def test_re_pair_round_trip():
-    ids = np.random.default_rng(0).zipf(1.3, 100_000).clip(0, 50_000).astype("u4")
+@pytest.mark.parametrize("ids", [np.random.default_rng(0).zipf(1.3, 100_000).clip(0, 50_000), np.arange(100_000) % 7, np.zeros(70_000), np.arange(3), np.zeros(0)])
+def test_re_pair_round_trip(ids):
+    ids = ids.astype("u4")
     rules, lengths, seq = token_store.compress(ids, 50_257)
-    assert len(rules) and len(seq) < len(ids) and (token_store.expand(seq, rules, 50_257) == ids).all()
-    for a, b in ((0, 10), (5, 6), (1000, 5000), (99_990, 100_000), (7, 7)):
-        assert (token_store.decode_range(seq, rules, lengths, 50_257, a, b) == ids[a:b]).all()
+    shard = token_store.Shard(seq, rules, lengths, 50_257)
+    assert (shard.ids() == ids).all() and len(shard.ids()) == len(ids)
+    pairs = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)[1] if len(seq) > 1 else np.zeros(1)
+    assert pairs.max() < token_store.LEAST_PAIRS
+    for a, b in ((0, 10), (5, 6), (1000, 5000), (99_990, 100_000), (7, 7), (0, 1 << 20)):
+        assert (shard.ids(a, b) == ids[a:b]).all()
+
+
+def test_token_store_brute_force(spark):
+    """The query's starts, lengths and checksums against the library, and single documents and ranges read by themselves."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op2_token_store"](spark, SF).collect()}
+    path, start, want = token_store.scratch(spark, "store"), 0, {}
+    token_store.write(docs, P.path("byte_bpe_50k.json"), path)
+    for doc, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert got[doc].asDict() == {"doc_id": doc, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())}
+        start, want[doc] = start + len(ids), ids
+    some = sorted(want)[3::40]
+    for lo, hi in ((0, None), (2, 5), (1, 400)):
+        part = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in token_store.read(spark, path, some, lo, hi).collect()}
+        assert part == {d: want[d][lo:hi].tolist() for d in some}
 
 
 def test_token_store(spark, odd, none, tmp_path):
@@ -321,16 +347,53 @@ def test_packing(spark, odd, none):
     assert len(placed) == table.count() and packing.pack(none, packing.word_tokenizer()).count() == 0
 
 
-def test_plan_places_every_piece_once():
-    rng = random.Random(3)
-    counts = {rng.randint(1, 2048): rng.randint(1, 50) for _ in range(300)}
+def best_fit(lengths, capacity=2048):
+    """The number of sequences that best-fit in descending order needs, piece by piece."""
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        insort(gaps, gap - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_rounds(spark, seed):
+    """Every rank has one place, sequences are gapless and not overfull, and hardly more than one-by-one best-fit needs."""
+    rng = random.Random(seed)
+    counts = {rng.randint(1, (2048, 300, 2048)[seed]): rng.randint(1, 50) for _ in range(300)}
+    if seed == 2:
+        counts = {k: n for k, n in counts.items() if k > 600}
     seen, fill = defaultdict(list), defaultdict(list)
-    for length, lo, hi, first, offset in packing.plan(counts):
-        seen[length] += range(lo, hi)
-        for k in range(hi - lo):
-            fill[first + k].append((offset, length))
-    assert all(sorted(seen[k]) == list(range(n)) for k, n in counts.items())
+    for r in packing.slots(spark.createDataFrame(list(counts.items()), "length long, n long")).collect():
+        seen[r["size"]] += range(r.lo, r.lo + r.n)
+        for k in range(r.n):
+            fill[r["first"] + k].append((r.offset, r["size"]))
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in counts.items()}
     assert all(sum(n for _, n in v) == max(o + n for o, n in v) <= 2048 for v in fill.values())
+    assert len(fill) <= 1.01 * best_fit([k for k, n in counts.items() for _ in range(n)]) + 1
+
+
+def test_packing_brute_force(spark):
+    """The query's pieces and checksums against the library, text by text, and the number of its sequences."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.word_tokenizer())
+    plain.encode_special_tokens = True
+    got = {(r.doc_id, r.piece): r for r in registry.QUERIES["op4_best_fit_packing"](spark, SF).collect()}
+    lengths = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        ids = plain.encode(r.text or "", add_special_tokens=False).ids + [0]
+        for k, start in enumerate(range(0, len(ids), 2048)):
+            own, x = ids[start : start + 2048], got.pop((r.doc_id, k))
+            assert (x.start, x.length, x.ids_crc32) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+            lengths.append((x.sequence_id, x.offset, x.length))
+    assert not got
+    ends = {}
+    for sequence, offset, length in sorted(lengths):
+        assert ends.get(sequence, 0) == offset
+        ends[sequence] = offset + length
+    assert max(ends.values()) <= 2048 and len(ends) <= 1.01 * best_fit([n for *_, n in lengths])
 
 
 def test_pipeline(spark):
