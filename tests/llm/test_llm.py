@@ -110,12 +110,33 @@ def test_quality_odd(odd, none):
     assert quality_rules.keep_good(odd).columns == odd.columns and quality_rules.verdicts(none).count() == 0
 
 
-def test_licenses(spark, none):
-    text = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses._MIT.replace("sublicense", "sublicence").upper()
-    docs = spark.createDataFrame([(1, text), (2, "Prose.\nReleased under the MIT Licence."), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: (r.licence, r.notices) for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
-    assert got[1][0] == "MIT" and got[2] == (None, "MIT") and got[3] == (None, None)
-    assert licenses.scan(none, licenses.known_licenses(spark)).count() == 0
+def test_licenses(spark, odd, none):
+    known = licenses.known_licenses(spark)
+    wrapped = licenses._BSD2.replace("retain the above copyright", "retain the above\ncopyright")
+    docs = [
+        (1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses._MIT.replace("sublicense", "sublicence").upper(), "MIT", None),
+        (2, "Prose.\nReleased under the MIT Licence.", None, "MIT"),
+        (2, "The same doc_id, but plain prose.", None, None),
+        (3, None, None, None),
+        (4, "The MIT License\n\nCopyright (c) Example Corporation.\nAll rights reserved.\n\n" + licenses._MIT, "MIT", None),
+        (5, "Copyright Jane Doe 2020\n" + wrapped + "\n" + licenses._BSD_END, "BSD-2-Clause", None),
+        (6, "(c) The Authors\n" + licenses._ISC, "ISC", None),
+        (7, licenses._ZLIB + " And more.", None, None),
+        (8, "/* " + licenses._GNU_NOTICE.format(it="program", name="Affero General Public License", n="3").replace("\n", "\n * ") + " */", "AGPL-3.0-or-later", None),
+    ]
+    got = licenses.scan(spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string"), known).collect()
+    assert sorted((r.doc_id, r.licence or "", r.notices or "") for r in got) == sorted((a, c or "", d or "") for a, _, c, d in docs)
+    assert licenses.scan(none, known).count() == 0 and licenses.scan(odd, known).count() == len(ODD)
+    assert known.count() == known.select("digest").distinct().count() and known.select("licence").distinct().count() >= 30
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no published texts here")
+def test_license_digests_are_of_the_published_texts(spark):
+    names = {"Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD"}
+    digests = dict(licenses.KNOWN_DIGESTS)
+    texts = [(k, Path("/usr/share/common-licenses", names.get(k, k.removesuffix(".0") if k in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-3.0") else k)).read_text()) for k in digests]
+    found = spark.createDataFrame(texts, "k string, text string").select("k", F.sha2(licenses.canonical(F.col("text")), 256).alias("d")).collect()
+    assert {r.k: r.d for r in found} == digests
 
 
 def test_substring_dedup_removes_the_second_copy(odd, none):
