@@ -2,7 +2,7 @@
 
 Documents in ascending doc_id order are encoded, an end id is put after each, and the ids are cut into shards.
 In a shard, frequent pairs of adjacent ids are replaced by new symbols (nonterminals), again and again, until no
-pair occurs LEAST_PAIRS times: Re-Pair, a round replacing all pairs that occur at least half as often as the commonest.
+pair occurs LEAST_PAIRS times: Re-Pair, a round replacing all pairs that occur at least a quarter as often as the commonest.
 A shard is one row: its documents and their lengths, the rules (a left and right symbol each), the length that
 each rule expands to, and the remaining sequence. The expansion lengths tell where each symbol's ids stand, so any
 range of ids is decoded without the rest (`Shard.ids`; `read` takes documents and ranges).
@@ -27,8 +27,10 @@ from lodestone.llm.tokens import TEXTS, encoder
 END_ID = 0
 #: Ids of a shard, about; least number of times that a replaced pair occurs in it.
 SHARD_IDS, LEAST_PAIRS = 1 << 18, 48
-#: Bits of the hash that counts pairs, and its odd multipliers, used by turns.
-SLOT_BITS, ODD = 20, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: A round replaces all pairs that occur at least 1 / STEP as often as the commonest.
+STEP = 4
+#: Bits of the hash that counts pairs, and its odd multipliers for left and right, used by turns.
+SLOT_BITS, ODD = 16, ((0x9E3779B1, 0x85EBCA77), (0xC2B2AE3D, 0x27D4EB2F), (0x165667B1, 0x9E3779B9))
 FIELDS = [
     ("part", pa.int32()), ("shard", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("terminals", pa.int32()),
@@ -43,10 +45,10 @@ def _frequent(seq: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.nd
     Pairs are counted by a hash of SLOT_BITS bits, and one pair stands for each slot; those it hides are met in a
     later round, which hashes otherwise. Only when no pair that stands for its slot is frequent are the others sorted.
     """
-    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    slot = (pairs * np.uint64(ODD[salt % len(ODD)]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    places = np.nonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] >= least)[0]
-    pairs, slot = pairs[places], slot[places]
+    left, right = ODD[salt % len(ODD)]
+    slot = ((seq[:-1] * np.uint32(left) ^ seq[1:] * np.uint32(right)) >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
+    places = np.nonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])[0]
+    slot, pairs = slot[places], seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1]
     holder = np.zeros(1 << SLOT_BITS, np.uint64)
     holder[slot] = pairs
     own = holder[slot] == pairs
@@ -57,7 +59,7 @@ def _frequent(seq: np.ndarray, least: int, salt: int) -> tuple[np.ndarray, np.nd
         holder, number, count = np.unique(pairs, return_inverse=True, return_counts=True)
         if not len(count) or count.max() < least:
             return places[:0], places[:0], pairs[:0]
-    chosen = np.nonzero(count >= max(least, count.max() // 2))[0]
+    chosen = np.nonzero(count >= max(least, count.max() // STEP))[0]
     chosen = chosen[np.argsort(-count[chosen], kind="stable")]
     rank = np.full(len(count), -1)
     rank[chosen] = np.arange(len(chosen))
@@ -211,13 +213,13 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, start
                 )
 
     table = spark.read.schema(DDL).parquet(path)
-    # one row for each task that wrote: their running total gives every shard its place
+    # one row for each task that wrote, however many documents: their running total gives every shard its place
     totals = table.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     if wanted is not None:
         table = table.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(x)) for x in wanted])))
     rows = table.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids binary")
-    return rows.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
