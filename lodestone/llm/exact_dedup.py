@@ -15,6 +15,7 @@ further columns are carried by keep_first() and otherwise not read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +45,17 @@ def located(docs: DataFrame) -> DataFrame:
     """
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if not _plain_scan(docs):
+        return written(docs.select(row), "contents").select("row", place.alias("at"))
+    return docs.select(row, place.alias("at"))
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether docs still offers the file source's metadata column: asked for by itself, in a plan that is never run."""
     try:
-        return docs.select(row, place.alias("at"))
-    except Exception as e:
-        if "UNRESOLVED_COLUMN" not in str(e):
-            raise
-        return written(docs, "contents").select(row, place.alias("at"))
+        return "file_path" in docs.select("_metadata.*").columns and "_metadata" not in docs.columns
+    except AnalysisException:
+        return False
 
 
 def arrivals(rows: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def classes(docs: DataFrame, per_trigger: str | None = None, digest: Column | No
     if not seen.isEmpty():
         changed = spark.read.parquet(f"{base}/state")
     # the state of a key only falls (first) and grows (n), so its last version needs no order of batches
-    state = changed.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n"))
+    # written, so that the join is between two plain shuffles, where a digest that very many rows share is split
+    state = written(changed.groupBy("digest").agg(F.min("first").alias("first"), F.max("n").alias("n")), "last_state")
     named = written(seen.join(state, "digest"), "named")
 
     # full bytes of every hit against the row its state names
