@@ -1,10 +1,11 @@
 """SimHash near-dedup by tiled exact comparison.
 
 A fingerprint has 64 bits, each the majority of that bit over the XXH64 hashes of a text's word shingles.
-Distinct fingerprints are dealt by hash into blocks, every pair of blocks is one group, and within it tiles
-sorted by their population counts are compared by exclusive-or and bit count. Population counts are taken for
-each 16-bit quarter: the distance of two fingerprints is at least the sum of the quarters' differences, so
-a pair of tiles whose quarter ranges are further apart than the radius is skipped without loss. A group returns
+Distinct fingerprints are dealt into blocks by their population counts, a crowded count by hash too; every pair of blocks
+whose counts are within the radius is one group, and within it tiles sorted by population counts are compared by
+exclusive-or and bit count. Tiles use the counts of each 16-bit quarter: the distance of two fingerprints
+is at least the sum of the quarters' differences, so a pair of tiles whose quarter ranges are further apart than
+the radius is skipped without loss. A group returns
 a spanning forest of its links (fewer rows than fingerprints, however large a family of near copies is); the
 forests' connected components are found by distributed star contraction.
 
@@ -21,7 +22,6 @@ keep_one() keeps one row of a component, that of the least doc_id, nulls last, t
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,12 +125,41 @@ def linked(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return forest.label
 
 
+def blocks_of(counts: dict[int, int], block: int = BLOCK) -> list[tuple[int, int, int]]:
+    """counts: number of fingerprints of each population count. Blocks (least count, greatest count, parts): neighbouring
+    counts that fit one block together, or a single count that is dealt by hash over its parts."""
+    size = max(1, min(block, -(-sum(counts.values()) // LEAST_BLOCKS)))
+    out, held = [], 0
+    for ones, n in sorted(counts.items()):
+        if out and held + n <= size:
+            out[-1], held = (out[-1][0], ones, 1), held + n
+        else:
+            out.append((ones, ones, -(-n // size)))
+            held = n
+    return out
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """distinct: (node, fp), a row for each fingerprint. Returns (a, b): links that connect what is within the radius."""
-    n = distinct.count()
-    blocks = max(LEAST_BLOCKS, math.ceil(n / block))
-    mine = F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")
-    dealt = distinct.select("node", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    """distinct: (node, fp), a row for each fingerprint. Returns (a, b): links that connect what is within the radius.
+
+    Blocks are ranges of population counts. Two blocks whose counts are further apart than the radius hold no link
+    and never meet: a fingerprint is sent to the others only.
+    """
+    ones = F.bit_count("fp").cast("int")
+    counts = {r[0]: r[1] for r in distinct.groupBy(ones).count().collect()}  # 65 rows at most
+    found = blocks_of(counts, block)
+    first, total = [], 0
+    for *_, parts in found:
+        first.append(total)
+        total += parts
+    table = []
+    for (lo, hi, parts), at in zip(found, first):
+        others = [o + k for (l, h, n), o in zip(found, first) if l - hi <= radius and lo - h <= radius for k in range(n)]
+        table += [(one, parts, at, others) for one in range(lo, hi + 1)]
+    where = distinct.sparkSession.createDataFrame(table, "ones int, parts int, first int, others array<int>")  # 65 rows at most
+    dealt = distinct.select("node", "fp", ones.alias("ones")).join(F.broadcast(where), "ones")
+    mine = (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int")
+    dealt = dealt.select("node", "fp", mine.alias("mine"), F.explode("others").alias("other"))
     dealt = dealt.select("node", "fp", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
