@@ -16,7 +16,8 @@ WHITE_CHARS = " \t\n\x0b\f\r"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below spark.checkpoint.dir, the folder that all executors share.
 
-    Only a local session, where the setting may be unset, gets a temporary folder of its own.
+    Only a local session, where the setting may be unset, gets a temporary folder of its own. What was made for a
+    session is taken away by clear_scratch().
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -25,7 +26,23 @@ def scratch(spark: SparkSession, name: str) -> str:
             if not spark.sparkContext.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = spark._lodestone_scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    spark.__dict__.setdefault("_lodestone_paths", []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes all that scratch() named for this session and returns how many paths it took away.
+
+    To be called when the results that read them have been written elsewhere; frames made before cannot be read then.
+    """
+    paths = spark.__dict__.pop("_lodestone_paths", [])
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(conf).delete(at, True))
+    return gone
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -49,8 +66,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """Connected components of an undirected graph of long ids: (node, root), root the least id reachable.
 
     Alternates large-star and small-star steps until the edge set no longer changes. Each step takes the
-    least neighbour by an aggregate (combined before the shuffle) and joins it back, so that a hub is an
-    ordinary skewed join and never one group; each is written, so lost executors cost one step only.
+    least neighbour by an aggregate (combined before the shuffle) and joins it back; both sides of that join are
+    written tables, so that a hub's rows are split over tasks, and lost executors cost one step only.
     """
 
     def summary(e: DataFrame) -> tuple:
@@ -58,7 +75,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """pairs: (u, v) with v a neighbour of u; the least of u and its neighbours becomes the hub."""
-        hub = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        hub = written(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "hubs")
         linked = pairs.join(hub, "u").select(F.col("v").alias("x"), "m", "u")
         if large:
             new = linked.filter("x > u").select(F.col("x").alias("u"), F.col("m").alias("v"))
