@@ -21,16 +21,18 @@ STOP_WORDS = (
     "el los las y se del una con no su es al lo como más pero sus"
 ).split()
 
-#: Rule, the ratio it bounds (numerator over denominator), least and greatest allowed; None: no bound.
-#: A text outside any bound is rejected. The bounds are wide: prose of any of the languages stays inside.
+#: Rule, the ratio it bounds (numerator over denominator), least and greatest allowed (None: no bound), and the measure
+#: whose share of the same denominator exempts a text from the rule, with that share. A text outside any bound is rejected.
+#: The bounds are wide: prose stays inside. Prose of a language without a list has function words too, and they come
+#: again and again: a text of which a tenth of the words are repeats needs no listed stop words.
 THRESHOLDS = (
-    ("mean_word_length", "word_chars", "n_words", 2.0, 14.0),
-    ("symbol_ratio", "n_symbols", "n_words", None, 0.10),
-    ("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.50),
-    ("stop_word_ratio", "n_stop_words", "n_words", 0.02, None),
+    ("mean_word_length", "word_chars", "n_words", 2.0, 14.0, None),
+    ("symbol_ratio", "n_symbols", "n_words", None, 0.10, None),
+    ("duplicate_line_ratio", "n_dup_lines", "n_lines", None, 0.50, None),
+    ("stop_word_ratio", "n_stop_words", "n_words", 0.02, None, ("n_again", 0.10)),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_again")
 
 
 def _let(value: Column, body) -> Column:
@@ -82,6 +84,7 @@ def _measures(text: Column) -> Column:
             _repeat_words(w).alias("n_repeat_words"),
             F.size(line).cast("long").alias("n_lines"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            (F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_again"),
         )
 
     def words(t: Column) -> Column:
@@ -98,13 +101,15 @@ def verdict(text: Column, thresholds=THRESHOLDS) -> Column:
 
     def judge(m: Column) -> Column:
         broken = []
-        for name, over, under, least, most in thresholds:
+        for name, over, under, least, most, unless in thresholds:
             ratio = m[over] / F.greatest(m[under], F.lit(1))
             outside = F.lit(False)
             if least is not None:
                 outside = outside | (ratio < least)
             if most is not None:
                 outside = outside | (ratio > most)
+            if unless is not None:
+                outside = outside & (m[unless[0]] / F.greatest(m[under], F.lit(1)) < unless[1])
             broken.append(F.when(outside, F.lit(name)))
         base_failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
         failed = F.concat_ws(",", *broken)
@@ -133,10 +138,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     rules = []
-    for name, over, under, least, most in THRESHOLDS:
+    for name, over, under, least, most, unless in THRESHOLDS:
         ratio = f"{over}::double / greatest({under}, 1)"
         tests = [f"{ratio} < {least}"] * (least is not None) + [f"{ratio} > {most}"] * (most is not None)
-        rules.append(f"CASE WHEN {' OR '.join(tests)} THEN '{name}' END")
+        but = f" AND {unless[0]}::double / greatest({under}, 1) < {unless[1]}" if unless else ""
+        rules.append(f"CASE WHEN ({' OR '.join(tests)}){but} THEN '{name}' END")
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -153,7 +159,8 @@ m AS (
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
     (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines,
     coalesce(rep.n, 0)::bigint AS n_repeat_words, len(l)::bigint AS n_lines,
-    len(list_filter(w, lambda x: lower(x) IN ({stop})))::bigint AS n_stop_words
+    len(list_filter(w, lambda x: lower(x) IN ({stop})))::bigint AS n_stop_words,
+    (len(w) - len(list_distinct(w)))::bigint AS n_again
   FROM d LEFT JOIN rep USING (r)),
 v AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
