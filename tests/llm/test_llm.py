@@ -31,7 +31,7 @@ ODD = [
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names the operators use themselves."""
     return spark.createDataFrame(ODD, "doc_id long, text string, lang string, n_chars long").withColumns(
-        {c: F.lit("extra") for c in ("at", "row", "gone", "stays", "digest", "fp", "t", "w", "m", "part", "_metadata_")}
+        {c: F.lit("extra") for c in ("at", "row", "gone", "stays", "digest", "fp", "t", "w", "m", "part", "key", "_metadata")}
     )
 
 
@@ -69,11 +69,22 @@ def test_exact_dedup_stream_continues(spark, tmp_path):
     assert (r.f.doc_id, r.n) == (3, 3)
 
 
-def test_simhash_brute_force(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
-    got = {r.doc_id: (r.fp, r.component_id) for r in simhash.classes(docs).collect()}
-    ids = sorted(got)
-    fp = np.array([got[i][0] for i in ids], dtype=np.int64).view(np.uint64)
+def plain_fingerprint(text, words=4):
+    """The majority of each bit over the XXH64 hashes of all shingles, bit by bit."""
+    import re
+
+    from xxhash import xxh64
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+    shingles = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [" ".join(w)] * bool(w)
+    h = [xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def plain_components(fp):
+    """fp: id -> fingerprint. The least id that links of at most RADIUS bits reach from each id."""
+    ids = sorted(fp)
+    f = np.array([fp[i] for i in ids], dtype=np.uint64)
     parent = {i: i for i in ids}
 
     def find(x):
@@ -81,13 +92,41 @@ def test_simhash_brute_force(spark, odd, none):
             x = parent[x]
         return x
 
-    for i, j in zip(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= simhash.RADIUS)):
+    for i, j in zip(*np.nonzero(np.bitwise_count(f[:, None] ^ f[None]) <= simhash.RADIUS)):
         a, b = find(ids[i]), find(ids[j])
         parent[max(a, b)] = min(a, b)
-    assert all(find(i) == got[i][1] for i in ids)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_brute_force(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 10_000, "text").toDF("doc_id", "text"))
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.classes(docs).collect()}
+    want = {r.doc_id: plain_fingerprint(r.text or "") for r in docs.collect()}
+    assert {k: v[0] for k, v in got.items()} == want and {k: v[1] for k, v in got.items()} == plain_components(want)
     assert got[10_001][0] == 0 and simhash.classes(none).count() == 0
 
 
+def test_simhash_blocks(spark):
+    """Blocks so small that crowded counts are dealt over several: no link is lost."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    fp = {i: b for i, b in enumerate(dict.fromkeys(base + [b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(1, 4))) for b in base * 3]))}
+    rows_ = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in fp.items()], "node long, fp long")
+    from lodestone.llm.common import components
+
+    roots = {r.node: r.root for r in components(simhash.links(rows_, block=20)).collect()}
+    assert {i: roots.get(i, i) for i in fp} == plain_components(fp)
+    found = simhash.blocks_of({10: 5, 11: 5, 30: 100, 31: 3, 33: 4}, 20)
+    assert found == [(10, 11, 1), (30, 30, 7), (31, 33, 1)]
+
+
+def test_simhash_keep_one_odd(odd, none):
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and simhash.keep_one(none).count() == 0
+    want = plain_components({i: plain_fingerprint(t or "") for i, t, *_ in ODD})
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
+
+
 def test_simhash_keeps_rows_without_an_id_of_their_own(spark):
     """A null doc_id or a shared one loses a row only where the row has a near copy that stays."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
@@ -104,10 +143,19 @@ def test_components_of_a_long_path(spark):
     assert {(r.node, r.root) for r in components(edges).collect()} == {(i, 0) for i in range(201)} | {(500, 500), (501, 500)}
 
 
-def test_quality_odd(odd, none):
+def test_quality_odd(spark, odd, none):
     got = {r.doc_id: r for r in quality_rules.verdicts(odd).collect()}
     assert not got[1].kept and got[1].n_words == 0 and got[9].n_repeat_words == 300 and not got[9].kept
     assert quality_rules.keep_good(odd).columns == odd.columns and quality_rules.verdicts(none).count() == 0
+    polish = (
+        "Wiatr od morza przyszedł nad ranem i do południa nie ustał, a ludzie na rynku mówili, że to dobry znak i że w tym roku na polach nie zabraknie wody. "
+        "Potem przyszli inni z miasta, a z nimi dzieci i psy, i nie było już na placu cicho. "
+        "Kto chciał kupić chleb, ten stał w kolejce do wieczora, bo w piekarni nie było mąki, a w sklepie na rogu nie było nikogo."
+    )
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(120))
+    docs = spark.createDataFrame([(1, polish), (2, noise)], "doc_id long, text string")
+    assert [(r.kept, r.failed_rules) for r in quality_rules.verdicts(docs).orderBy("doc_id").collect()] == [(True, ""), (False, "stop_word_ratio")]
 
 
 def test_licenses(spark, odd, none):
@@ -417,14 +465,65 @@ def test_packing_brute_force(spark):
     assert max(ends.values()) <= 2048 and len(ends) <= 1.01 * best_fit([n for *_, n in lengths])
 
 
-def test_pipeline(spark):
+def plain_quality(text):
+    """Whether a text passes, from the rules' wording."""
+    import re
+
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    places = defaultdict(list)
+    for i in range(len(words) - 2):
+        places[tuple(words[i : i + 3])].append(i)
+    again = {i + j for v in places.values() if len(v) > 1 for i in v for j in range(3)}
+    n = max(1, len(words))
+    few_stops = sum(w.lower() in quality_rules.STOP_WORDS for w in words) / n < 0.02 and (len(words) - len(set(words))) / n < 0.10
+    bad = len(words) < 50 or 100 * len(again) > 50 * len(words) or few_stops
+    bad = bad or not 2 <= sum(map(len, words)) / n <= 14 or sum(c in "#*$%&|<>" for c in text) / n > 0.10
+    return not (bad or (len(lines) - len(set(lines))) / max(1, len(lines)) > 0.5)
+
+
+def test_pipeline_brute_force(spark, tmp_path, odd):
+    """run() against all five stages in plain Python: which rows stay, what text is left, and gapless sequences."""
+    import re
+
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r.doc_id for r in quality_rules.verdicts(docs).filter("kept").collect()}
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in out} <= good and len({r.doc_id for r in out}) > 0.8 * len(good)
-    stage = docs
-    for _, f in corpus_pipeline.STAGES[:-1]:
-        stage = corpus_pipeline.written(f(spark, stage, SF), "stage")
-        assert stage.columns == docs.columns
+    more = odd.select(F.col("doc_id") + 10_000, "text", "lang", F.lit("odd"), "n_chars").toDF("doc_id", "text", "lang", "source", "n_chars")
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    rows_ = sorted(((r.doc_id, r.text) for r in docs.unionByName(more).collect()), key=lambda x: x[0])
+    left, seen = {}, set()
+    for doc, text in rows_:
+        normal = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
+        if plain_quality(text) and normal not in seen:
+            seen.add(normal)
+            left[doc] = text
+    roots = plain_components({k: plain_fingerprint(t) for k, t in left.items()})
+    left = plain_removal([(k, t) for k, t in left.items() if roots[k] == k])
+    plain = Tokenizer.from_file(packing.word_tokenizer())
+    plain.encode_special_tokens = True
+    want = {}
+    for doc, text in left.items():
+        ids = plain.encode(text, add_special_tokens=False).ids + [0]
+        for k, start in enumerate(range(0, len(ids), 2048)):
+            want[doc, k] = (start, zlib.crc32(np.array(ids[start : start + 2048], "<u4").tobytes()))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.ids_crc32) for r in out} == want and len(out) == len(want)
+    ends = {}
+    for sequence, offset, length in sorted((r.sequence_id, r.offset, r.length) for r in out):
+        assert ends.get(sequence, 0) == offset
+        ends[sequence] = offset + length
+    assert max(ends.values()) <= 2048
+
+
+def test_pipeline_stages_odd(spark, odd, none):
+    """Every stage takes nulls, ties, clashing names and an empty table, and keeps the columns."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= docs.count(), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
