@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import scratch
 from lodestone.sources.tables import Catalogue, table
 
 C = Catalogue()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def deliver(spark: SparkSession, sf_dir: str, out: str, per_trigger: int = 1) -> None:
     """Keeps each subject's revision count and last event as a stream over the log; changed keys are appended for each batch.
 
