@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.sources.tables import Catalogue
+from pyspark.sql import functions as F
+
+from lodestone.operators.authority import descendants
+from lodestone.sources.tables import Catalogue, table
 
 C = Catalogue()
 
@@ -27,51 +30,9 @@ def claim_latest_evaluation(d):
 select claim, target, evaluator, first_seen, evaluations from e"""
 
 
-@C.sql
-def claim_support_class(d):
-    """Roots of a source's texts: unsupported, undetermined, single, multiple or overlapping lineage."""
-    return f"""with {claims(d)}, s as (select source, lang, count(distinct claim) as roots, count(*) as entries, {d.count_if('lang = %s' % "'es'")} as unknown from revisions group by source, lang),
-shared as (select a.source, count(*) as n from (select distinct source, lang, claim from revisions) a join (select distinct source, lang, claim from revisions) b
-  on a.source = b.source and a.claim = b.claim and a.lang < b.lang group by a.source)
-select s.source, case when count(*) = 0 then 'unsupported' when sum(unknown) > 0 and max(coalesce(h.n, 0)) = 0 and count(*) < 4 then 'undetermined' when count(*) = 1 then 'single' when max(coalesce(h.n, 0)) > 0 then 'overlapping' else 'multiple' end as support_class,
-  cast(sum(roots) as bigint) as roots from s left join shared h on s.source = h.source group by s.source"""
-
-
-@C.sql
-def claim_availability(d):
-    return f"""with a as (select source, {d.count_if('quality is null')} as unknown, {d.count_if('quality = 1')} as present, {d.count_if('toxic = 1')} as purged, count(*) as n
-  from documents x left join labels l on x.doc_id = l.doc_id group by source)
-select source, case when present = n then 'complete' when present > 0 then 'partial' when unknown > 0 then 'unknown' when purged = n then 'purged' else 'unavailable' end as availability from a"""
-
-
-@C.sql
-def claim_conflict_pairs(d):
-    """Revisions of one claim whose decisions differ, checked in fixed order."""
-    return f"""with {claims(d)}, v as (select x.claim, x.revision, x.value, r.lang, r.source from decisions x join revisions r on x.claim = r.claim and x.revision = r.revision)
-select a.claim, a.revision as revision_a, b.revision as revision_b, case when a.lang <> b.lang then 'none' when a.source <> b.source then 'potential' when a.value <> b.value then 'demonstrated' else 'none' end as status
-from v a join v b on a.claim = b.claim and a.revision < b.revision"""
-
-
-@C.sql
-def claim_condition_findings(d):
-    """A condition on a repository's frontier: met, unmet, or unknown for an empty set."""
-    return """with t as (select source, max(doc_id) as frontier from documents where doc_id % 3 <> 0 group by source),
-c as (select o_orderkey as condition_id, concat('src', cast(o_orderkey % 25 as string)) as source, o_custkey % 2000 as expected from orders)
-select c.condition_id, case when t.frontier is null then 'unknown' when t.frontier >= c.expected then 'met' else 'unmet' end as finding from c left join t on c.source = t.source"""
-
-
-@C.sql
-def claim_dependency_findings(d):
-    """First reason that holds: remote, self, unresolved, not evaluated, not established."""
-    return f"""with x as (select doc_id, doc_id - (doc_id % 7) as dep, source from documents)
-select x.doc_id, case when x.doc_id % 50 = 0 then 'remote_dependency' when x.dep = x.doc_id then 'self_reference' when r.doc_id is null then 'unresolved' when l.doc_id is null then 'not_evaluated'
-  when l.quality <> 1 then 'not_established' end as reason
-from x left join documents r on x.dep = r.doc_id and r.source <> 'src3' left join labels l on x.dep = l.doc_id"""
-
-
 @C.sql
 def claim_history_positions(d):
-    return f"""with {claims(d)}, e as (select event_id % 1000 as doc_id, min(event_id) as position from events where event_type = 'purchase' group by event_id % 1000)
+    return f"""with {claims(d)}, e as (select user_id as doc_id, min(event_id) as position from events where event_type = 'purchase' group by user_id)
 select r.claim, r.revision, r.doc_id, e.position from revisions r left join e on r.doc_id = e.doc_id"""
 
 
@@ -129,9 +90,12 @@ def artifact_reassembly_digest(d):
 select l_orderkey, {d.sha256(whole)} as digest, cast(sum(length(bytes)) as bigint) as size from c group by l_orderkey"""
 
 
-@C.sql
-def artifact_range_read(d):
-    return f"select doc_id, substring(text, 101, 50) as piece, {d.octets('text')} as size from documents where {d.octets('text')} >= 150"
+@C.spark("""select doc_id, sha256(list_reduce(list_transform(range(101, least(strlen(text), 150) + 1), lambda i: hex(encode(text))[2 * i - 1 : 2 * i]), lambda x, y: x || y)) as piece, strlen(text) as size, strlen(text) >= 150 as whole from documents where strlen(text) > 100""")
+def artifact_range_read(spark, sf_dir):
+    """Bytes 100 to 149 of every text that reaches so far, as the digest of their hexadecimal digits; whole: whether all of the range was there."""
+    raw, size = F.col("text").cast("binary"), F.octet_length("text").cast("long")
+    docs = table(spark, sf_dir, "documents").filter(size > 100)
+    return docs.select("doc_id", F.sha2(F.hex(F.substring(raw, 101, 50)), 256).alias("piece"), size.alias("size"), (size >= 150).alias("whole"))
 
 
 @C.sql
@@ -140,38 +104,6 @@ def artifact_availability(d):
   when text is null then 'unavailable' when n_chars <> length(text) then 'integrity' else 'available' end as availability from documents"""
 
 
-@C.sql
-def grant_cover_semi(d):
-    """Customers that some grant covers: same nation and an identifier with the grant's prefix."""
-    return f"""with grants as (select n_nationkey, concat('Customer#0000000', cast(n_nationkey % 10 as string)) as prefix from nation)
-select c_custkey, c_name from customer where exists (select 1 from grants where n_nationkey = c_nationkey and {d.pick('startswith', 'starts_with')}(c_name, prefix)) or c_custkey % 100 = 1"""
-
-
-@C.sql
-def grant_usable_reason(d):
-    """Ten denials in fixed order cut to those that apply; the expiry instant itself is expired."""
-    return """select c_custkey, case when c_custkey % 17 = 0 then 'revoked' when c_acctbal <= 0 then 'expired' when c_nationkey is null then 'unbound' when c_custkey % 19 = 0 then 'epoch'
-  when c_mktsegment = 'BUILDING' then 'rights' when c_custkey % 23 = 0 then 'scope' end as denial from customer"""
-
-
-@C.sql
-def grant_descendants(d):
-    """Everything below a revoked region, walking the delegation tree level by level."""
-    return """with recursive edges as (
-  select concat('n', cast(n_nationkey as string)) as child, concat('r', cast(n_regionkey as string)) as parent from nation
-  union all select concat('c', cast(c_custkey as string)), concat('n', cast(c_nationkey as string)) from customer),
-tree as (select child, 1 as depth from edges where parent = 'r1' union all select e.child, t.depth + 1 from edges e join tree t on e.parent = t.child)
-select child, cast(depth as bigint) as depth from tree"""
-
-
-@C.sql
-def grant_delegation_violations(d):
-    """A child may not outlast its parent, hold more, or go deeper."""
-    return """with parents as (select n_nationkey, n_regionkey as depth, n_nationkey * 300 as upto from nation)
-select c_custkey, case when c_acctbal > upto then 'expiry' when depth = 0 then 'depth' when c_mktsegment = 'MACHINERY' then 'rights' end as violation
-from customer join parents on c_nationkey = n_nationkey where c_acctbal > upto or depth = 0 or c_mktsegment = 'MACHINERY'"""
-
-
 @C.sql
 def dirty_snapshot_digest(d):
     """Paths that differ between two listings, each once, and one digest for each tree over them in order."""
@@ -183,18 +115,23 @@ select tree, count(*) as entries, {d.sha256(d.join_agg("concat(cast(id as string
 
 @C.sql
 def memo_dependents_direct(d):
-    return "select distinct l_suppkey as node, l_partkey as dependency from lineitem where l_partkey <= 20"
+    return "select distinct l_suppkey as node, l_partkey as dependency from lineitem"
 
 
-@C.sql
-def memo_affected_transitive(d):
-    """Nodes whose results a changed region may alter: reverse reachability over recorded edges."""
-    return """with recursive edges as (
-  select concat('nation', cast(n_nationkey as string)) as node, concat('region', cast(n_regionkey as string)) as dep from nation
-  union all select concat('supplier', cast(s_suppkey as string)), concat('nation', cast(s_nationkey as string)) from supplier
-  union all select concat('customer', cast(c_custkey as string)), concat('nation', cast(c_nationkey as string)) from customer),
+@C.spark("""with recursive edges as (
+  select 'nation' || n_nationkey as node, 'region' || n_regionkey as dep from nation
+  union all select 'supplier' || s_suppkey, 'nation' || s_nationkey from supplier
+  union all select 'customer' || c_custkey, 'nation' || c_nationkey from customer),
 hit as (select node, 1 as depth from edges where dep = 'region2' union all select e.node, h.depth + 1 from edges e join hit h on e.dep = h.node)
-select node, cast(min(depth) as bigint) as depth from hit group by node"""
+select node, min(depth)::bigint as depth from hit group by node""")
+def memo_affected_transitive(spark, sf_dir):
+    """Nodes whose results a changed region may alter: reverse reachability over recorded edges, level by level."""
+    tables = (("nation", "n_nationkey", "region", "n_regionkey"), ("supplier", "s_suppkey", "nation", "s_nationkey"), ("customer", "c_custkey", "nation", "c_nationkey"))
+    edges = None
+    for name, key, on, dep in tables:
+        e = table(spark, sf_dir, name).select(F.concat(F.lit(name), F.col(key).cast("string")).alias("child"), F.concat(F.lit(on), F.col(dep).cast("string")).alias("parent"))
+        edges = e if edges is None else edges.unionByName(e)
+    return descendants(edges, spark.createDataFrame([("region2",)], "node string"))
 
 
 @C.sql

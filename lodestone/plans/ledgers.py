@@ -66,7 +66,7 @@ def id_encode_bounded(d):
     room = f"({ID_LENGTH - len(ID_MARK) - ID_DIGITS} - length(prefix))"
     domain = f"concat('{ID_DOMAIN}', chr(10), rest)"
     inside = "case when substring(rest, length(rest) - room, 1) = '~' then 2 when substring(rest, length(rest) - room - 1, 1) = '~' then 1 else 0 end"
-    return f"""with r as (select page_id, 'span-pages:' as prefix, concat(url, '#', substring(html, 1, cast(page_id % 200 as int))) as raw from pages),
+    return f"""with r as (select page_id, 'span-pages:' as prefix, concat(url, case when length(html) % 2 = 0 then concat('#', html) else '' end) as raw from pages),
 e as (select page_id, prefix, {d.join(d.transform(letters, 'c', char), '')} as rest from r),
 t as (select *, {room} as room, right(rest, {room}) as tail from e),
 b as (select *, case when length(prefix) + length(rest) <= {ID_LENGTH} then '' when colon > 0 then substring(tail, colon) else substring(tail, 1 + {inside}) end as ending

@@ -1,14 +1,12 @@
-"""Packet compilation: ranking, ordering, greedy inclusion, results; projection of logs; scoring; encoding."""
+"""Logs and their failures; scoring; encoding; a few checks of the substrate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.constants import CLAIMS
-from lodestone.sources.tables import Catalogue, run_sql
+from lodestone.sources.tables import Catalogue, table
 
 C = Catalogue()
-CAPACITY = 9000
 SECTIONS = """sections as (select source as request, doc_id as section, lang as item, octet_bytes as size, case when doc_id % 11 = 0 then 0 when doc_id % 5 = 0 then 1 else 2 end as rank, doc_id % 11 = 0 as mandatory
   from (select *, {octets} as octet_bytes from documents) z)"""
 
@@ -17,66 +15,6 @@ def sections(d) -> str:
     return SECTIONS.format(octets=d.octets("text"))
 
 
-@C.sql
-def claims_ranked_carried(d):
-    """Claims of a source by the question words that they share, repeats of a word counted; the best are carried."""
-    q = d.extract_all("lower(text)", r"[\p{L}\p{N}]+")
-    return f"""with q as (select {q} as words from benchmark where item_id = 2), s as (select x.doc_id, x.source, {d.size(d.filter('q.words', 'w', ("array_contains" if d.is_spark else "list_contains") + '(x.words, w)'))} as score
-  from (select doc_id, source, {q} as words from documents) x cross join q)
-select * from (select source, doc_id, score, cast(row_number() over (partition by source order by score desc, doc_id) as bigint) as k from s where score > 0) z where k <= {CLAIMS}"""
-
-
-@C.sql
-def claims_omitted(d):
-    return f"""with k as (select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as k from documents)
-select source, doc_id, 'applicability' as reason from k where k > {CLAIMS}"""
-
-
-@C.sql
-def sections_ordered(d):
-    return f"with {sections(d)} select request, section, cast(row_number() over (partition by request order by rank, size, section) as bigint) as place from sections"
-
-
-@C.sql
-def packet_mandatory_size(d):
-    return f"with {sections(d)} select request, cast(sum(size) as bigint) as bytes, count(*) as n from sections where mandatory group by request"
-
-
-FOLD_SPARK = f"""with {SECTIONS.format(octets="cast(octet_length(text) as bigint)")}, g as (select request, array_sort(collect_list(struct(rank, section, size))) as s from sections group by request),
-f as (select request, aggregate(s, named_struct('room', {CAPACITY}L, 'kept', cast(array() as array<bigint>)),
-  (a, x) -> case when x.size <= a.room then named_struct('room', a.room - x.size, 'kept', concat(a.kept, array(x.section))) else a end) as r from g)
-select request, r.room as remaining, cast(size(r.kept) as bigint) as n, array_join(r.kept, ',') as kept from f"""
-FOLD_DUCK = f"""with recursive {SECTIONS.format(octets="cast(strlen(text) as bigint)")}, o as (select *, row_number() over (partition by request order by rank, section) as k from sections),
-w as (select request, k, case when size <= {CAPACITY} then {CAPACITY} - size else {CAPACITY} end as room, case when size <= {CAPACITY} then [section] else []::bigint[] end as kept from o where k = 1
-  union all select w.request, o.k, case when o.size <= w.room then w.room - o.size else w.room end, case when o.size <= w.room then list_append(w.kept, o.section) else w.kept end from w join o on w.request = o.request and o.k = w.k + 1)
-select request, room as remaining, len(kept)::bigint as n, array_to_string(kept, ',') as kept from (select *, row_number() over (partition by request order by k desc) as z from w) y where z = 1"""
-
-
-@C.spark(FOLD_DUCK)
-def packet_inclusion_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In rank order, whatever still fits; a later smaller section may fit after a skip, so this is a fold, not a running sum."""
-    return run_sql(spark, sf_dir, FOLD_SPARK)
-
-
-@C.sql
-def packet_item_results(d):
-    return f"""with {sections(d)}, i as (select request, item, count(*) as n, {d.count_if('mandatory')} as must, {d.count_if('mandatory and size > 4000')} as too_long from sections group by request, item)
-select request, item, case when too_long > 0 then 'unmet' when must = 0 then 'degraded' else 'satisfied' end as result from i"""
-
-
-@C.sql
-def packet_state(d):
-    return f"""with {sections(d)}, i as (select request, item, bool_or(mandatory and size > 4000) as unmet, bool_and(not mandatory) as degraded from sections group by request, item)
-select request, case when bool_or(unmet) then 'unmet' when bool_or(degraded) then 'partial' else 'ready' end as state from i group by request"""
-
-
-@C.sql
-def packet_read_time_changes(d):
-    """What changed between a packet's snapshot and now, one row for each kind of change."""
-    return """with was as (select doc_id, quality, toxic from labels), now as (select doc_id, case when doc_id % 7 = 0 then 1 - quality else quality end as quality, toxic from labels where doc_id % 13 <> 0)
-select w.doc_id, case when n.doc_id is null then 'unverified' when n.quality <> w.quality then 'invalidated' end as change from was w left join now n on w.doc_id = n.doc_id where n.doc_id is null or n.quality <> w.quality"""
-
-
 def loglines(d) -> str:
     return """log as (select event_id as line, user_id as run, case event_type when 'error' then concat('test t', cast(event_id as string), ' ... FAILED') when 'signup' then concat('running ', cast(event_id as string), ' tests')
   when 'view' then '' when 'click' then concat('test t', cast(event_id as string), ' ... ok') else concat('---- t', cast(event_id as string), ' stdout ----') end as text from events)"""
@@ -115,7 +53,7 @@ def json_failed_records(d):
 
 @C.sql
 def redact_regex_core(d):
-    x = "concat(url, ' Authorization: Bearer ', substring(html, 1, 20), 'abcdefghijklmnop token=s3cr3t')"
+    x = "concat(url, ' Authorization: Bearer ', html, ' token=s3cr3t')"
     for pattern, by in ((r"Bearer [^\s]+", "Bearer [redacted]"), (r"(token|password|secret)=[^&\s]+", r"\1=[redacted]"), (r"([?&](key|sig))=[^&]*", r"\1=[redacted]")):
         x = d.replace(x, pattern, by)
     return f"select page_id, {x} as redacted from pages"
@@ -126,15 +64,38 @@ def digest_content(d):
     return f"select doc_id, concat('sha256:', {d.sha256('text')}) as digest, {d.matches(d.sha256('text'), '^[0-9a-f]{64}$')} as well_formed from documents"
 
 
-@C.sql
-def base64_strict(d):
-    enc = d.pick("base64(cast(substring(text, 1, 12) as binary))", "to_base64(encode(substring(text, 1, 12)))")
-    return f"select doc_id, {enc} as encoded, {d.matches(enc, '^[A-Za-z0-9+/]*={0,2}$')} and length({enc}) % 4 = 0 as strict from documents"
+@C.spark("""with t as (select event_id, case event_type when 'view' then to_base64(encode(props)) when 'click' then replace(to_base64(encode(props)), '=', '') when 'error' then props when 'signup' then regexp_replace(to_base64(encode('a' || event_id)), '.=$', 'B=') else lower(to_base64(encode(props))) end as given from events)
+select event_id, given, regexp_full_match(given, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') and (not ends_with(given, '=') or case when ends_with(given, '==') then regexp_matches(given, '[AQgw]==$') else regexp_matches(given, '[AEIMQUYcgkosw048]=$') end) as strict from t""")
+def base64_strict(spark, sf_dir):
+    """Texts given as base64, of which some are none: strict are those that decode and come out the same when encoded again."""
+    made = F.base64(F.col("props").cast("binary"))
+    other = F.regexp_replace(F.base64(F.concat(F.lit("a"), F.col("event_id").cast("string")).cast("binary")), ".=$", "B=")
+    given = F.when(F.col("event_type") == "view", made).when(F.col("event_type") == "click", F.replace(made, F.lit("="), F.lit(""))).when(F.col("event_type") == "error", F.col("props")).when(F.col("event_type") == "signup", other).otherwise(F.lower(made))
+    rows = table(spark, sf_dir, "events").select("event_id", given.alias("given"))
+    shaped = F.col("given").rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return rows.select("event_id", "given", F.when(shaped, F.base64(F.unbase64("given")) == F.col("given")).otherwise(False).alias("strict"))
 
 
-@C.sql
-def identifier_grammar(d):
-    return f"""select page_id, {d.matches('url', r'^[a-z]+://[^@/?#]+(/|$|\?|#)')} as plain_locator, {d.matches('url', r'[?&](key|token|sig|secret|password|auth)[^=]*=')} as has_credentials, {d.extract('url', r'^[a-z]+://([^/?#]+)')} as host from pages"""
+#: What the name of a query parameter that carries a credential contains.
+SIGNALS = ("signature", "token", "credential", "secret", "password", "passwd", "sig", "key", "auth", "session")
+
+
+def carries_credentials(locator):
+    """Whether a locator holds user information before its first `/`, `?` or `#`, or a query parameter of a telling name."""
+    authority = F.split(F.regexp_replace(locator, r"^.*?://", ""), r"[/?#]")[0]
+    query = F.split(F.regexp_extract(locator, r"\?(.*)$", 1), "#")[0]
+    names = F.transform(F.split(query, "&"), lambda pair: F.lower(F.split(pair, "=")[0]))
+    return F.contains(authority, F.lit("@")) | F.exists(names, lambda n: n.rlike("|".join(SIGNALS)))
+
+
+@C.spark(rf"""with u as (select page_id, case page_id % 4 when 1 then replace(url, '://', '://me:pw@') when 2 then url || '?X-Amz-Signature=1' when 3 then url || '?page=1&Session_Id=2#key=3' else url || '#token=1' end as url from pages)
+select page_id, regexp_matches(url, '^[a-z]+://[^/?#]*@') or len(list_filter(string_split(string_split(case when contains(url, '?') then substring(url, instr(url, '?') + 1) else '' end, '#')[1], '&'),
+  lambda p: regexp_matches(lower(string_split(p, '=')[1]), '{'|'.join(SIGNALS)}'))) > 0 as has_credentials, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host from u""")
+def identifier_grammar(spark, sf_dir):
+    """Locators of pages with user information, a signature, a session or only a fragment added, by turns."""
+    k, url = F.col("page_id") % 4, F.col("url")
+    made = F.when(k == 1, F.replace(url, F.lit("://"), F.lit("://me:pw@"))).when(k == 2, F.concat(url, F.lit("?X-Amz-Signature=1"))).when(k == 3, F.concat(url, F.lit("?page=1&Session_Id=2#key=3"))).otherwise(F.concat(url, F.lit("#token=1")))
+    return table(spark, sf_dir, "pages").select("page_id", carries_credentials(made).alias("has_credentials"), F.regexp_extract(made, r"^[a-z]+://([^/?#]+)", 1).alias("host"))
 
 
 @C.sql
