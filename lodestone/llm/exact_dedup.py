@@ -27,6 +27,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # a store is closed when its task has committed: an executor holds those of its running tasks, not of all partitions
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # many small stores: without this each holds megabytes of preallocated log files
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
