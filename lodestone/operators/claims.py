@@ -98,12 +98,6 @@ def artifact_range_read(spark, sf_dir):
     return docs.select("doc_id", F.sha2(F.hex(F.substring(raw, 101, 50)), 256).alias("piece"), size.alias("size"), (size >= 150).alias("whole"))
 
 
-@C.sql
-def artifact_availability(d):
-    return f"""select doc_id, case when doc_id % 41 = 0 then 'abandoned' when doc_id % 37 = 0 then 'purge_pending' when doc_id % 31 = 0 then 'purged' when doc_id % 29 = 0 then 'staged'
-  when text is null then 'unavailable' when n_chars <> length(text) then 'integrity' else 'available' end as availability from documents"""
-
-
 @C.sql
 def dirty_snapshot_digest(d):
     """Paths that differ between two listings, each once, and one digest for each tree over them in order."""

@@ -8,10 +8,11 @@ C = Catalogue()
 
 
 def log(d) -> str:
-    """Epoch is the week, sequence the place in it; the window is partitioned by epoch, never global."""
+    """Epoch is the week, sequence the place in it. In Spark the log is stored with its sequences; the oracle works them out."""
     week = f"cast(floor(({d.seconds('ts')} - 1704067200) / 604800) + 1 as bigint)"
-    return f"""log as (select {week} as epoch, cast(row_number() over (partition by {week} order by ts, event_id) as bigint) as sequence,
-  event_id, ts, event_type as kind, user_id, value, props from events)"""
+    worked_out = f"""select {week} as epoch, cast(row_number() over (partition by {week} order by ts, event_id) as bigint) as sequence,
+  event_id, ts, event_type as kind, user_id, value, props from events"""
+    return f"log as ({d.pick('select * from stored_log', worked_out)})"
 
 
 @C.sql

@@ -33,6 +33,10 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         if re.search(rf"\b{name}\b", text):
             df = table(spark, sf_dir, name)
             (spread(df) if name == "documents" and "regexp_extract_all" in text else df).createOrReplaceTempView(name)
+    if re.search(r"\bstored_log\b", text):
+        from lodestone.sources.eventlog import stored
+
+        stored(spark, sf_dir).createOrReplaceTempView("stored_log")
     return spark.sql(text)
 
 
