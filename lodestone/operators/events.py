@@ -159,14 +159,6 @@ c as (select *, case when n_chars < bytes / 8 then bound else least(n_chars, bou
 select doc_id, bound, case when bound <= 3000 then 'admitted' when believed <= 3000 then 'admitted_by_count' else 'refused' end as verdict from c"""
 
 
-@C.sql
-def effects_overdue(d):
-    """Obligations open at the as-of instant: each signup is met by a later purchase of its user, or overdue after a day."""
-    return f"""with o as (select event_id, user_id, ts from events where event_type = 'signup'), p as (select user_id, event_id from events where event_type = 'purchase'),
-m as (select o.event_id, o.user_id, o.ts, min(p.event_id) as met_by from o left join p on o.user_id = p.user_id and p.event_id > o.event_id group by o.event_id, o.user_id, o.ts)
-select event_id, met_by, case when met_by is not null then 'satisfied' when {d.seconds('ts')} + 86400 <= (select max({d.seconds('ts')}) from events) then 'overdue' else 'pending' end as state from m"""
-
-
 @C.sql
 def instants(d):
     plus = d.pick("timestampadd(second, 3600, ts)", "ts + interval 3600 second")
