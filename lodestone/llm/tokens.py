@@ -16,6 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMO, BLOCK = 400_000, 128
+#: A Latin letter and then one full stop or comma before white space are always apart: the cut there leaves the word by itself.
+#: (Other letters, İ too, may normalise to a letter and a mark, which goes with the punctuation.)
+ENDED = {
+    False: (r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])([ \n]|$)", "\\1\0\\2\\3"),
+    True: (r"([A-Za-zÀ-ÖØ-öø-įı-ɏ])([.,])([ \n]|$)", r"\1 \2\3"),
+}
 #: Texts of a call to encode(), about: enough of them to share most of their stretches.
 TEXTS = 1024
 #: Two white-space characters in a row, or the character that marks cuts.
@@ -42,6 +48,7 @@ class Encoder:
         self.mark_id = ids[0] if len(ids) == 1 else -1
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
+        texts = pc.replace_substring_regex(texts, *ENDED[self.separates])
         if self.separates:
             return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
@@ -70,29 +77,20 @@ class Encoder:
         """Ids of distinct stretches, by the memo as far as it goes."""
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
-        memo, older = self.memo, self.older
+        memo = self.memo
         found = list(map(memo.get, stretches))
         missing = [i for i, v in enumerate(found) if v is None]
-        new = []
-        for i in missing:
-            s = stretches[i]
-            if (v := older.get(s)) is None:
-                new.append(s)
-            else:
-                found[i] = memo[s] = v
+        if not missing:
+            return found
+        wanted = [stretches[i] for i in missing]
+        got = list(map(self.older.get, wanted))
+        new = [s for s, v in zip(wanted, got) if v is None]
         if new:
-            # a Latin letter and then one full stop or comma at the end are always apart: the word alone is looked up
-            # (other letters may normalise to a letter and a mark, which goes with the punctuation)
-            ended = {s for s in new if len(s) > 2 and s[-1] in ".," and s[-2] <= "\u024f" and s[-2].lower().isalpha()}
-            cores = {s[:-1] for s in ended}
-            learnt = self._learn(list((set(new) - ended) | {c for c in cores if c not in memo} | {".", ","}))
-            for s in ended:
-                core = memo.get(s[:-1])
-                learnt[s] = (learnt[s[:-1]] if core is None else core) + learnt[s[-1]]
-            memo.update((s, v) for s, v in learnt.items() if len(s) < 64)
-            for i in missing:
-                if found[i] is None:
-                    found[i] = learnt[stretches[i]]
+            learnt = self._learn(new)
+            got = [learnt[s] if v is None else v for s, v in zip(wanted, got)]
+        for i, v in zip(missing, got):
+            found[i] = v
+        memo.update(zip(wanted, got) if max(map(len, wanted)) < 64 else [(s, v) for s, v in zip(wanted, got) if len(s) < 64])
         return found
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:

@@ -317,6 +317,61 @@ def test_language_id_held_out(spark, odd, none):
     assert language_id.predict(odd, language_id.fit(none)).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_brute_force(spark):
+    """Every prediction and score again in plain Python, from word and n-gram counts of all rows that are learned from (the sample holds them all here)."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    find = regex.compile(language_id.WORD).findall
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    held = {d for d, *_ in docs if zlib.crc32(str(d).encode()) % 4 == 2}
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for d, text, lang in docs:
+        if d not in held and text is not None and lang is not None:
+            for w in find(text.lower()):
+                words[w][lang] += 1
+                padded = f"<{w}>"
+                for k in language_id.LENGTHS:
+                    for i in range(len(padded) - k + 1):
+                        grams[padded[i : i + k]][lang] += 1
+    langs = sorted({k for c in words.values() for k in c})
+
+    def logs(table, size):
+        table = {w: c for w, c in table.items() if c.total() >= language_id.MIN_COUNT}
+        total, kinds = defaultdict(Counter), Counter(size(w) for w in table)
+        for w, c in table.items():
+            total[size(w)].update(c)
+        out = {}
+        for w, c in table.items():
+            t = total[size(w)]
+            unseen = language_id.SMOOTH / (sum(t.values()) / len(langs))
+            out[w] = [math.log((c[k] / max(t[k], 1) + unseen) / (1 + unseen * kinds[size(w)])) for k in langs]
+        return out
+
+    known, parts = logs(words, lambda w: 0), logs(grams, len)
+
+    def of(word):
+        if word in known:
+            return known[word]
+        padded = f"<{word}>"
+        for k in language_id.LENGTHS:
+            found = [parts[g] for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) in parts]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in registry.QUERIES["op8_language_id"](spark, SF).collect()}
+    assert len(got) == len(docs)
+    for d, text, _ in docs:
+        found = find((text or "").lower())
+        sums = [sum(x) for x in zip(*map(of, found))] if found else []
+        share = [math.exp(x - max(sums)) for x in sums]
+        want = (langs[sums.index(max(sums))], max(share) / sum(share)) if found else ("und", 0.0)
+        assert got[d].held_out == (d in held) and got[d].lang_pred == want[0] and abs(got[d].score - want[1]) < 1e-2
+
+
 def test_language_id_keeps_a_rare_language(spark):
     """One text in 3,000 is in the rare language; none of the sample's bound goes to it by its share alone."""
     rows_ = [(i, "the cat and the dog sat on the mat with a bird", "en") for i in range(6_000)]
@@ -338,6 +393,7 @@ def test_memoised_encoding_equals_the_library(name):
     plain.encode_special_tokens = True
     mine = Encoder(P.path(name))
     texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 120))) for _ in range(1500)]
+    texts += ["".join(rng.choice("ab.,é×ñİ \n") for _ in range(rng.randint(0, 60))) for _ in range(1500)]  # words before full stops and commas
     for text, ids in zip(texts, mine.encode(texts)):
         assert np.frombuffer(ids, mine.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
