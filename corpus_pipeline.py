@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: each stage is one operator of lodestone.llm."""
+"""From raw documents to packed training sequences: each stage is one operator of lodestone.llm.
+
+Defined cases, of every stage: a null text counts as empty (quality rules reject it; the other stages would keep the first such row); of rows that
+tie the one with the least doc_id stays, nulls last, then the one read first; repeated rows are copies; rows that share a doc_id but not their text are
+different rows; an empty table stays empty; further columns, whatever their names, are carried along by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ STAGES = [
     ("best_fit_packing", packed),
 ]
 
-#: The near-dedup and packing stages cannot be told in SQL; tests/llm compares the stages with plain Python.
+#: The near-dedup and packing stages cannot be told in SQL; tests/llm compares run() with all stages in plain Python, at sf 0.001 with odd rows added.
 ORACLE_SQL = None
 
 
