@@ -100,11 +100,13 @@ def artifact_range_read(spark, sf_dir):
 
 @C.sql
 def dirty_snapshot_digest(d):
-    """Paths that differ between two listings, each once, and one digest for each tree over them in order."""
+    """Paths that differ between two listings, each once, and one digest for each tree over them: a digest of the digests of 256 parts, so that no
+    string holds a whole tree."""
     return f"""with a as (select doc_id, lang, n_chars from documents where doc_id % 10 <> 1), b as (select doc_id, lang, n_chars + case when doc_id % 9 = 0 then 1 else 0 end as n_chars from documents where doc_id % 10 <> 2),
 x as (select coalesce(a.lang, b.lang) as tree, coalesce(a.doc_id, b.doc_id) as id, case when a.doc_id is null then 'added' when b.doc_id is null then 'deleted' else 'changed' end as status
-  from a full outer join b on a.doc_id = b.doc_id where a.n_chars is distinct from b.n_chars)
-select tree, count(*) as entries, {d.sha256(d.join_agg("concat(cast(id as string), '=', status)", 'id'))} as digest from x group by tree"""
+  from a full outer join b on a.doc_id = b.doc_id where a.n_chars is distinct from b.n_chars),
+p as (select tree, substring({d.sha256('cast(id as string)')}, 1, 2) as part, count(*) as n, {d.sha256(d.join_agg("concat(cast(id as string), '=', status)", 'id'))} as digest from x group by tree, substring({d.sha256('cast(id as string)')}, 1, 2))
+select tree, cast(sum(n) as bigint) as entries, {d.sha256(d.join_agg('digest', 'part'))} as digest from p group by tree"""
 
 
 @C.sql

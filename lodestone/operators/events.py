@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.sources.tables import Catalogue
+from pyspark.sql import functions as F
+
+from lodestone.sources.eventlog import numbered
+from lodestone.sources.tables import Catalogue, table
 
 C = Catalogue()
 
@@ -89,11 +92,15 @@ def precondition_failures(d):
 select event_id, revision, revision - k % 3 as expected from r where k % 3 <> 0"""
 
 
-@C.sql
-def capability_reconcile(d):
-    """A revision is added whenever a capability's value differs from the one before."""
-    return f"""select event_type, count(*) as seen, {d.count_if('before is null or before <> props')} as revisions from (
-  select event_type, props, lag(props) over (partition by event_type order by event_id) as before from events) z group by event_type"""
+@C.spark("""select event_type, count(*) as seen, count(*) filter (before is null or before <> props) as revisions from (
+  select event_type, props, lag(props) over (partition by event_type order by event_id) as before from events) z group by event_type""")
+def capability_reconcile(spark, sf_dir):
+    """A revision is added whenever a capability's value differs from the one before. There are few capabilities: rows are numbered in order over all
+    tasks, and each is joined with the one before it."""
+    rows = numbered(table(spark, sf_dir, "events").select("event_type", "event_id", "props"), "event_type", "event_id")
+    before = rows.select("event_type", (F.col("number") + 1).alias("number"), F.col("props").alias("before"))
+    moved = ~F.col("props").eqNullSafe(F.col("before"))
+    return rows.join(before, ["event_type", "number"], "left").groupBy("event_type").agg(F.count("*").alias("seen"), F.count_if(moved).alias("revisions"))
 
 
 def ledger(d) -> str:

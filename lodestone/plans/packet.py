@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.sources.eventlog import numbered
 from lodestone.sources.tables import Catalogue, table
 
 C = Catalogue()
@@ -124,9 +125,16 @@ def outcome_multiset_gate(d):
 select coalesce(g.outcome, w.outcome) as outcome, coalesce(g.n, 0) as got, coalesce(w.n, 0) as expected, coalesce(g.n, 0) = coalesce(w.n, 0) as pass from got g full outer join want w on g.outcome = w.outcome"""
 
 
-@C.sql
-def hash_ordering(d):
-    return f"select doc_id, cast(row_number() over (partition by source order by {d.sha256(chr(39).join(['concat(', 'shuffle:', ', cast(doc_id as string))']))}, doc_id) as bigint) as place from documents"
+@C.spark("""with h as (select doc_id, source, sha256('shuffle:' || doc_id) as h from documents)
+select doc_id, row_number() over (partition by source order by h, doc_id) as place, case when h[1] in ('0', '2', '4', '6', '8', 'a', 'c', 'e') then 'left' else 'right' end as side from h""")
+def hash_ordering(spark, sf_dir):
+    """A shuffle that is always the same: documents of a source in order of a digest, and a side by the parity of its first digit. Places come from one
+    numbering of all rows, so that no source is a single task."""
+    h = F.sha2(F.concat(F.lit("shuffle:"), F.col("doc_id").cast("string")), 256)
+    rows = numbered(table(spark, sf_dir, "documents").select("source", h.alias("h"), "doc_id"), "source", "h", "doc_id")
+    first = rows.groupBy("source").agg(F.min("number").alias("first"))
+    side = F.when(F.conv(F.substring("h", 1, 1), 16, 10).cast("int") % 2 == 0, "left").otherwise("right")
+    return rows.join(first, "source").select("doc_id", (F.col("number") - F.col("first") + 1).alias("place"), side.alias("side"))
 
 
 @C.sql
