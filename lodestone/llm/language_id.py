@@ -60,12 +60,12 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> dict:
         .agg(F.count("*").alias("n"))
     )
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = words.select(
-        "lang", "n", F.explode(F.flatten(F.array(*[
-            F.when(F.length(padded) >= k, F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i, k=k: F.substring(padded, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-            for k in LENGTHS
-        ]))).alias("word"),
-    ).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    def of_length(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(padded) - (k - 1)), lambda i: F.substring(padded, i, F.lit(k)))
+        return F.when(F.length(padded) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*map(of_length, LENGTHS)))).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def table(counts: DataFrame) -> dict:
         rows = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("all")).filter(f"all >= {MIN_COUNT}").collect()
