@@ -20,11 +20,12 @@ MAX_BLOB, CANONICAL_READ = 1 << 20, 8 << 20
 REGULAR = ("100644", "100755")
 ORDER = ("score", "repository", "path", "start_byte")
 SEPARATOR = "\x1f"
+PLACE = ("start_byte", "end_byte", "start_line", "end_line")
 
 
 TABLES = {
     "chunks": "tree string, path string, blob string, start_byte long, end_byte long, start_line long, end_line long, text string, chunk long, tokens array<string>, len int, repository string",
-    "postings": "tree string, path string, chunk long, len int, term string, tf long, repository string",
+    "postings": "tree string, path string, start_byte long, end_byte long, start_line long, end_line long, chunk long, len int, term string, tf long, repository string",
     "manifest": "blobs long, indexed long, anchored long, binary long, too_large long, unanchored_language long, frontier string, chunks long, total_len long, index_digest string, compiler string, repository string",
 }
 
@@ -82,7 +83,9 @@ def index_tree(blobs: DataFrame, path: str) -> None:
     here = blobs.select("repository").distinct()
     stored = read(spark, path, "chunks").join(here, "repository", "left_semi")
     # a text's tokens are counted before they leave it: each distinct term of a chunk is one row
-    counted = stored.select("repository", "tree", "path", "chunk", "len", F.explode("tokens").alias("term")).groupBy("repository", "tree", "path", "chunk", "len", "term").agg(F.count("*").alias("tf"))
+    # and carries its chunk's place, so that a search ranks without reading the chunks
+    of = ("repository", "tree", "path", *PLACE, "chunk", "len")
+    counted = stored.select(*of, F.explode("tokens").alias("term")).groupBy(*of, "term").agg(F.count("*").alias("tf"))
     order = ("repository", "term", "chunk")
     write(counted.repartitionByRange(*order).sortWithinPartitions(*order), "postings")
     row = F.concat_ws(SEPARATOR, "path", "start_byte", "end_byte", "blob")
@@ -159,7 +162,7 @@ def source_states(spark: SparkSession, path: str, view: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, path: str, terms: list[str], match_all: bool = False) -> DataFrame:
-    """BM25 of every chunk that holds a term (or all of them): score (smaller is better), matched, repository, tree, path, chunk.
+    """BM25 of every chunk that holds a term (or all of them): score (smaller is better), matched, repository, tree, path, chunk and its place.
 
     Only the postings of the terms are read; the number of chunks and their length stand in the manifest.
     """
@@ -170,7 +173,7 @@ def scored(spark: SparkSession, path: str, terms: list[str], match_all: bool = F
     weight = F.create_map(*[F.lit(x) for t, k in asked.items() for x in (t, k * _idf(n, df.get(t, 0)))])
     norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(float(total or 0) / max(1, n)))
     part = F.element_at(weight, F.col("term")) * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
-    out = found.groupBy("repository", "tree", "path", "chunk").agg(F.round(-F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
+    out = found.groupBy("repository", "tree", "path", "chunk", *PLACE).agg(F.round(-F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     return out.filter(F.col("matched") == len(asked)) if match_all else out
 
 
@@ -191,7 +194,6 @@ def after(cursor: Cursor | None) -> Column:
     return out
 
 
-PLACE = ("start_byte", "end_byte", "start_line", "end_line")
 
 
 def canonical_rows(blobs: DataFrame, terms: list[str], match_all: bool, within: str | None = None, budget: int = CANONICAL_READ) -> tuple[DataFrame, DataFrame]:
@@ -231,9 +233,7 @@ def search(path: str, blobs: DataFrame, view: DataFrame, question: str, match_al
             hits = hits.filter(F.col("path") == within)
         if bounds.cursor is not None:
             hits = hits.filter(F.col("score") >= bounds.cursor.score)
-        places = read(spark, path, "chunks").select("chunk", "repository", *PLACE)
-        # rows that tie with the page's last one on score and path differ by start_byte alone, which the chunk table holds
-        parts.append(hits.join(places, ["repository", "chunk"]).select(*columns, F.lit("index").alias("origin")))
+        parts.append(hits.select(*columns, F.lit("index").alias("origin")))
     if other:
         names = [s["repository"] for s in other]
         rows, budget = canonical_rows(blobs.filter(F.col("repository").isin(*names)), terms, match_all, within)

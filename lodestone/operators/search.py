@@ -152,7 +152,6 @@ def search_per_path_cap(spark, sf_dir):
     """At most two spans of a path, in order of rank, over all hits."""
     path = index(spark, sf_dir)
     hits = R.scored(spark, path, R.terms_of(spark, asked(spark, sf_dir)))
-    hits = hits.join(R.read(spark, path, "chunks").select("repository", "chunk", "start_byte"), ["repository", "chunk"])
     w = Window.partitionBy("path").orderBy("score", "repository", "start_byte")
     return hits.withColumn("k", F.row_number().over(w).cast("long")).filter(F.col("k") <= PER_PATH).select("repository", "path", "start_byte", "score", "k")
 
