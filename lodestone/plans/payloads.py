@@ -50,10 +50,12 @@ def chunk_limits(spark, sf_dir):
 
 @C.spark("""select l_orderkey, bool_and(s_nationkey < 12) as readable, len(list_distinct(list(l_suppkey))) as roots, count(distinct l_returnflag) = 1 as one_flag from lineitem join supplier on l_suppkey = s_suppkey group by l_orderkey""")
 def derivation_readable(spark, sf_dir):
-    """Whether all that an order's lines read is among what a reader may read: sets held as arrays."""
-    may = table(spark, sf_dir, "supplier").filter("s_nationkey < 12").agg(F.collect_set(F.col("s_suppkey").cast("string")).alias("may"))  # suppliers of some nations
-    read = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("read"), F.collect_list(F.array("l_returnflag")).alias("flags"))
-    return read.join(F.broadcast(may)).select("l_orderkey", X.subset(F.col("read"), F.col("may")).alias("readable"), F.size("read").cast("long").alias("roots"), (F.size(X.common(F.col("flags"))) > 0).alias("one_flag"))
+    """Whether all that an order's lines read is among what a reader may read: sets held as arrays, of one order each."""
+    may = table(spark, sf_dir, "supplier").groupBy("s_suppkey").agg(F.bool_and(F.col("s_nationkey") < 12).alias("may"))  # suppliers of some nations
+    line = table(spark, sf_dir, "lineitem").join(may, F.col("l_suppkey") == F.col("s_suppkey"))
+    root = F.col("l_suppkey").cast("string")
+    read = line.groupBy("l_orderkey").agg(F.collect_set(root).alias("read"), F.collect_set(F.when(F.col("may"), root)).alias("may"), F.collect_set(F.array("l_returnflag")).alias("flags"))
+    return read.select("l_orderkey", X.subset(F.col("read"), F.col("may")).alias("readable"), F.size("read").cast("long").alias("roots"), (F.size(X.common(F.col("flags"))) > 0).alias("one_flag"))
 
 
 # projections: a user's events as a test run, pages as text, an event's props as records
