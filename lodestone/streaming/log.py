@@ -46,14 +46,15 @@ select * from h where expired <= (select max(epoch(ts))::bigint from o)"""
 def events_stateful_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holds that each event of a user opens or renews; one expires, and only then is emitted, once the watermark has passed its end.
 
-    The state of a hold is dropped with it. Time is in whole seconds.
+    The state of a hold is dropped with it. Time is in whole seconds. A hold's last instant is no longer part of it: an event just then opens another. Spark
+    joins sessions that touch, so a session ends a millisecond before its hold.
     """
     out = scratch(spark, "timers")
     schema = table(spark, sf_dir, "events").schema
     log = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
     log = log.select("user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts")).withWatermark("ts", "0 seconds")
-    holds = log.groupBy("user_id", F.session_window("ts", f"{HOLD_SECONDS} seconds").alias("hold")).agg(F.count("*").alias("renewals"))
-    rows = holds.select("user_id", F.unix_timestamp("hold.start").alias("opened"), F.unix_timestamp("hold.end").alias("expired"), "renewals")
+    holds = log.groupBy("user_id", F.session_window("ts", f"{HOLD_SECONDS - 1} seconds 999 milliseconds").alias("hold")).agg(F.count("*").alias("renewals"))
+    rows = holds.select("user_id", F.unix_timestamp("hold.start").alias("opened"), (F.unix_timestamp("hold.end") + 1).alias("expired"), "renewals")
     query = rows.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).format("parquet").option("path", f"{out}/rows").start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")

@@ -151,3 +151,15 @@ def test_evaluator_cycles_and_graph(spark):
     assert same.first().changed_at == 1 and {r.changed_at for r in after.collect()} == {1}
     _, lower = E.set_inputs(inputs, stamps, spark.createDataFrame([("i", 4, 0)], "key string, value long, durability int"), 2)
     assert {r.durability: r.changed_at for r in lower.collect()} == {0: 2, 1: 2, 2: 2}
+
+
+def test_hold_ends_at_its_last_instant(spark, tmp_path):
+    """An event just as a hold ends opens another; a second before, it renews it."""
+    from lodestone.streaming import log as S
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(1, 0), (1, S.HOLD_SECONDS), (2, 0), (2, S.HOLD_SECONDS - 1), (3, 2 * S.HOLD_SECONDS), (4, S.HOLD_SECONDS), (5, S.HOLD_SECONDS + 1)]
+    made = [(k, at + datetime.timedelta(seconds=n), u, "view", 1.0, "{}") for k, (u, n) in enumerate(rows)]
+    spark.createDataFrame(made, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.user_id, r.expired - r.opened, r.renewals) for r in S.events_stateful_timers(spark, str(tmp_path)).collect()}
+    assert got == {(1, S.HOLD_SECONDS, 1), (2, 2 * S.HOLD_SECONDS - 1, 2), (4, S.HOLD_SECONDS, 1)}
