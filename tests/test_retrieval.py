@@ -76,6 +76,16 @@ def test_states_reasons_and_replacing(spark, index, blobs, view, tmp_path):
     assert manifest["other"] == before["other"] and manifest["7"] != before["7"]
 
 
+def test_a_page_without_room_declares_its_gaps(spark, index, blobs):
+    """Rows read from texts come after all ranked ones: a page that is full before them says so."""
+    behind = spark.createDataFrame([("7", "t1"), ("other", "t2")], "repository string, basis string")
+    page = R.search(index, blobs, behind, "user", bounds=R.Bounds(rows=3))
+    assert page.declares_its_gaps() and {r["repository"] for r in page.found} == {"7"}
+    assert [s["reason"] for s in page.sources] == [None, "lagging: its rows stand behind this page"]
+    last = R.search(index, blobs, behind, "user", bounds=R.Bounds(rows=100, batch_bytes=1 << 30))
+    assert [s["reason"] for s in last.sources] == [None, None] and last.declares_its_gaps()
+
+
 def test_budget_of_direct_reading(blobs):
     rows, stopped = R.canonical_rows(blobs, ["user"], True, budget=500)
     assert {r.repository: r.stopped for r in stopped.collect()} == {"7": True, "other": False}
