@@ -92,6 +92,45 @@ def test_budget_of_direct_reading(blobs):
     assert 0 < rows.filter("repository = '7'").count() < 12
 
 
+def test_direct_reading_is_as_told_blob_by_blob(spark):
+    """Parts that are cut by themselves change nothing: the blobs read, and whether the budget ended it, as a plain walk in order of path tells."""
+    rows = [(r, "t1", f"f{i:03}.txt", f"b{i}", "100644", b"user name\n" * (i * 7 % 23)) for r in ("a", "b", "c") for i in range({"a": 200, "b": 9, "c": 1}[r])]
+    made = spark.createDataFrame(rows, FIELDS)
+    for budget in (0, 1, 500, 1090, 3000, 10**6):
+        found, stopped = R.canonical_rows(made, ["user"], True, budget=budget)
+        want, ended = set(), {}
+        for repository in "abc":
+            used, ended[repository] = 0, False
+            for r, _, path, _, _, content in sorted(rows):
+                if r == repository:
+                    if used >= budget:
+                        ended[r] = True
+                    elif content:
+                        want.add((r, path))
+                    used += len(content)
+        assert {(r.repository, r.path) for r in found.collect()} == want and {r.repository: r.stopped for r in stopped.collect()} == ended
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert all("content" not in line for line in plan.splitlines() if line.strip(" :+-|").startswith("Window"))
+
+
+def test_terms_are_counted_in_their_text(spark):
+    got = one(spark, R.term_counts(T.tokens(F.lit("b a getA b B c"))), R.term_counts(F.array().cast("array<string>")))
+    assert [tuple(x) for x in got[0]] == [("a", 2), ("b", 3), ("c", 1), ("get", 1), ("geta", 1)] and got[1] == []
+
+
+def test_index_is_dealt_by_size(spark, blobs, tmp_path, monkeypatch):
+    """No task indexes more than its share of the texts, and each segment of the postings is in order of term."""
+    monkeypatch.setattr(R, "TASK_TEXT", 200)
+    path = str(tmp_path / "i")
+    R.index_tree(blobs.filter("repository = '7' and path like 'src/%'"), path)
+    rows = R.read(spark, path, "postings").select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("k"), "term", "start_byte", "tf").orderBy("file", "k").collect()
+    files = {r.file for r in rows}
+    assert len(files) > 4
+    for f in files:
+        terms = [r.term for r in rows if r.file == f]
+        assert terms == sorted(terms)
+
+
 def test_cursor_refuses_what_is_none():
     assert R.Cursor.decode("1.5\x1fa\x1fb\x1f7") == R.Cursor(1.5, "a", "b", 7)
     for text in ("", "1.5\x1fa\x1fb", "1.5\x1fa\x1fb\x1f7\x1fc", "x\x1fa\x1fb\x1f7", "1.5\x1fa\x1fb\x1fx"):
