@@ -11,6 +11,11 @@ OPERATION = "artifact string, seq long, op string, size long, digest string, off
 STATE = "struct<state: string, size: bigint, digest: string, received: bigint, chunks: array<struct<seq: bigint, content: binary>>, holds: array<struct<hold: string, until: string>>, purged_at: string>"
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fold(operations: DataFrame) -> DataFrame:
     """(artifact, seq, op, outcome, and state, size, digest, received, holds, purged_at after it) for every operation, in order of seq.
 
@@ -51,22 +56,28 @@ def fold(operations: DataFrame) -> DataFrame:
             F.lit("staged").alias("state"), x["size"].alias("size"), x["digest"].alias("digest"), F.lit(0).cast("long").alias("received"), none.alias("chunks"), no_holds.alias("holds"), F.lit(None).cast("string").alias("purged_at")
         )
         chunk, hold = F.array(F.struct(x["seq"].alias("seq"), x["content"].alias("content"))), F.array(F.struct(x["hold"].alias("hold"), x["until"].alias("until")))
-        after = (
-            F.when(refusal.isNotNull(), s)
-            .when(op == "prepare", fresh)
-            .when(op == "append", state(s, received=s["received"] + length, chunks=F.concat(s["chunks"], chunk)))
-            .when(op == "seal", state(s, state=F.lit("sealed"), chunks=none))
-            .when(op == "abandon", state(s, state=F.lit("abandoned"), chunks=none))
-            .when(op == "hold", state(s, holds=F.concat(F.filter(active, lambda h: h["hold"] != x["hold"]), hold)))
-            .when(op == "release", state(s, holds=F.filter(active, lambda h: h["hold"] != x["hold"])))
-            .when(op == "purge", state(s, state=F.lit("purge_pending"), holds=kept))
-            .when(op == "confirm", state(s, state=F.lit("purged"), purged_at=x["at"]))
-        )
-        line = F.struct(
-            x["seq"].alias("seq"), op.alias("op"), F.coalesce(refusal, F.lit("ok")).alias("outcome"), after["state"].alias("state"), after["size"].alias("size"), after["digest"].alias("digest"), after["received"].alias("received"),
-            F.transform(after["holds"], lambda h: h["hold"]).alias("holds"), after["purged_at"].alias("purged_at"),
-        )
-        return F.struct(after.alias("s"), F.concat(acc["out"], F.array(line)).alias("out"))
+
+        def after(r: Column) -> Column:
+            return (
+                F.when(r.isNotNull(), s)
+                .when(op == "prepare", fresh)
+                .when(op == "append", state(s, received=s["received"] + length, chunks=F.concat(s["chunks"], chunk)))
+                .when(op == "seal", state(s, state=F.lit("sealed"), chunks=none))
+                .when(op == "abandon", state(s, state=F.lit("abandoned"), chunks=none))
+                .when(op == "hold", state(s, holds=F.concat(F.filter(active, lambda h: h["hold"] != x["hold"]), hold)))
+                .when(op == "release", state(s, holds=F.filter(active, lambda h: h["hold"] != x["hold"])))
+                .when(op == "purge", state(s, state=F.lit("purge_pending"), holds=kept))
+                .when(op == "confirm", state(s, state=F.lit("purged"), purged_at=x["at"]))
+            )
+
+        def line(r: Column, n: Column) -> Column:
+            return F.struct(
+                x["seq"].alias("seq"), op.alias("op"), F.coalesce(r, F.lit("ok")).alias("outcome"), n["state"].alias("state"), n["size"].alias("size"), n["digest"].alias("digest"), n["received"].alias("received"),
+                F.transform(n["holds"], lambda h: h["hold"]).alias("holds"), n["purged_at"].alias("purged_at"),
+            )
+
+        # the refusal, and the state that follows from it, are worked out once for each operation
+        return _let(refusal, lambda r: _let(after(r), lambda n: F.struct(n.alias("s"), F.concat(acc["out"], F.array(line(r, n))).alias("out"))))
 
     return held.select("artifact", F.inline(F.aggregate("ops", zero, step, lambda a: a["out"])))
 

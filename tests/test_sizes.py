@@ -15,3 +15,12 @@ def test_reader_sets_are_of_one_order(spark, tmp_path):
     for t in ("supplier", "lineitem"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert rows(QUERIES["derivation_readable"](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLE_SQL["derivation_readable"]).df())
+
+
+def test_operations_read_each_table_once(spark):
+    from oracle import SF
+
+    from lodestone.plans import lives
+
+    plan = lives.operations(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "Union" not in plan and "Window" not in plan
