@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lodestone.constants import SPANS
 from lodestone.functions.encoding import canonical_json, redact
 from lodestone.plans.packet import line_class, loglines, sections
-from lodestone.sources.tables import Catalogue, run_sql, table
+from lodestone.sources.tables import Catalogue, run_sql, spread, table
 
 C = Catalogue()
 ID_LENGTH, ID_MARK, ID_DIGITS, ID_DOMAIN = 128, "~~", 32, "lodestone-id/1"
@@ -89,25 +92,39 @@ nodes as (select 'nation' as level, redo, old, now, scratch from n2 union all se
 select level, count(*) as nodes, """ + f"{d.count_if('redo')} as recomputed, {d.count_if('redo and old = now')} as unchanged, bool_and(now = scratch) as agrees from nodes group by level"
 
 
+#: Rows of long texts that a Python worker holds as objects at a time.
+FEW = 64
+
+
+def mapped(df: DataFrame, column: str, rule: Callable[[str], str | None]) -> DataFrame:
+    """df with a string column replaced by rule of it, null staying null. A batch of rows may be a whole partition of long texts: no more than a task's share
+    of the table comes in one, and it is worked on and given back a few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for start in range(0, batch.num_rows, FEW):
+                few = batch.slice(start, FEW)
+                texts = pa.array([None if t is None else rule(t) for t in few.column(at).to_pylist()], few.schema.field(at).type)
+                yield few.set_column(at, few.schema.field(at), texts)
+
+    return df.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in df.schema]))
+
+
 @C.spark()
 def canonical_json_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as JSON, brought to canonical form; the length in bytes and digest of that."""
     page = F.to_json(F.struct("url", F.col("page_id").alias("page"), F.struct(F.col("html").alias("\U0001f600"), F.col("url").alias("דּ")).alias("body")))
-    body = F.pandas_udf(lambda s: s.map(canonical_json, na_action="ignore"), "string")(page)
-    made = table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
+    made = mapped(spread(table(spark, sf_dir, "pages")).select("page_id", page.alias("body")), "body", canonical_json)
     return made.select("page_id", F.octet_length("body").cast("long").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("body", 256)).alias("digest"))
 
 
 @C.spark()
 def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchanges rendered from pages, JSON and plain, with their credentials taken out."""
-
-    def each(s: pd.Series) -> pd.Series:
-        return s.map(redact, na_action="ignore")
-
     link = F.concat("url", F.lit("&X-Signature="), F.sha2("html", 256))
     plain = F.concat(F.lit("GET "), link, F.lit(" Authorization: Bearer "), F.md5("html"), F.lit("\n"), "html")
     record = F.when(F.col("page_id") % 2 == 0, plain).otherwise(F.to_json(F.struct(link.alias("link"), F.md5("url").alias("api_key"), "html")))
-    made = table(spark, sf_dir, "pages").select("page_id", record.alias("record"), F.sha2("html", 256).alias("held"))
-    made = made.withColumn("redacted", F.pandas_udf(each, "string")("record"))
+    made = spread(table(spark, sf_dir, "pages")).select("page_id", record.alias("record"), F.sha2("html", 256).alias("held"))
+    made = mapped(made, "record", redact).withColumnRenamed("record", "redacted")
     return made.select("page_id", "redacted", F.contains("redacted", "held").alias("leaks"))

@@ -39,3 +39,16 @@ def test_ledgers_and_ids(spark):
     assert QUERIES["id_encode_bounded"](spark, SF).filter("length(id) > 128 or not id rlike '^[A-Za-z][A-Za-z0-9._:~-]*$'").count() == 0
     assert QUERIES["memo_recompute_agrees"](spark, SF).filter("not agrees").count() == 0
     assert QUERIES["redact_full"](spark, SF).filter("leaks").count() == 0
+
+
+def test_long_texts_are_worked_on_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """Pages are dealt over tasks by their size, a worker holds few of them at a time, and nulls and refusals stay null."""
+    from lodestone.plans import ledgers
+    from lodestone.sources import tables
+
+    rows = [(i, None if i % 7 == 0 else "1.5" if i % 5 == 0 else '{"b": %d, "a": 1}' % i) for i in range(300)]
+    got = ledgers.mapped(spark.createDataFrame(rows, "id long, body string").coalesce(1), "body", canonical_json).collect()
+    assert {r.id: r.body for r in got} == {i: None if i % 7 == 0 or i % 5 == 0 else '{"a":1,"b":%d}' % i for i in range(300)}
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 10)
+    for name in ("canonical_json_digest", "redact_full"):
+        assert QUERIES[name](spark, SF).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
