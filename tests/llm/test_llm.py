@@ -416,6 +416,46 @@ def test_byte_bpe_equals_tiktoken(spark, odd, none):
     assert byte_bpe.encode(none, path, P.PATTERN).count() == 0
 
 
+def test_byte_bpe_ranks_in_any_order(tmp_path):
+    """Matches that share a queue, with vocabularies whose merges make pairs of lesser rank."""
+    import base64
+
+    import tiktoken
+
+    rng = random.Random(5)
+    for seed in range(20):
+        longer = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))).encode() for _ in range(60)})
+        rng.shuffle(longer)
+        ranks = {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + longer)}
+        (path := tmp_path / f"{seed}.tiktoken").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in ranks.items()))
+        theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        mine = byte_bpe.Bpe(str(path), P.PATTERN)
+        texts = [" ".join("".join(rng.choice("aabc") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 9))) for _ in range(60)]
+        assert [np.frombuffer(x, mine.dtype).tolist() for x in mine.encode_all(texts)] == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_byte_bpe_bounds_what_a_worker_holds(monkeypatch):
+    """A batch of 20 MB is worked on by the slice, and words that never come back do not pile up."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "MEMO", 1000)
+    mine, rng = byte_bpe.Bpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(6)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(7)) for _ in range(100_000)]
+    texts = [" ".join(words[i * 20 : i * 20 + 20] * 26) for i in range(5000)]
+    batch = pa.record_batch([pa.array(range(5000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    total, rows = 0, 0
+    tracemalloc.start()
+    for part in byte_bpe._encode_batches(iter([batch, batch.slice(0, 0)]), mine):
+        rows, total = rows + part.num_rows, total + sum(part.column(1).to_pylist())
+        assert len(mine.memo) + len(mine.older) < 15_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5000 and total > 0 and peak < 30e6
+    assert [i for x in byte_bpe._slices(batch, 1) for i in x.column(0).to_pylist()] == list(range(5000))
+
+
 @pytest.mark.parametrize("ids", [np.random.default_rng(0).zipf(1.3, 100_000).clip(0, 50_000), np.arange(100_000) % 7, np.zeros(70_000), np.arange(3), np.zeros(0)])
 def test_re_pair_round_trip(ids):
     ids = ids.astype("u4")
