@@ -233,6 +233,26 @@ def test_substring_dedup_brute_force(spark):
     assert got == want
 
 
+def test_substring_dedup_query_removes(spark, tmp_path, monkeypatch):
+    """The query removes as well: whole spans go from the texts, and its rows are read off the table that holds what is left."""
+    tables = {}
+    plain = substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name, *a: tables.setdefault(name, plain(df, name, *a)))
+    long = " ".join(f"w{i}" for i in range(10)) + ". " + " ".join(f"v{i}" for i in range(10)) + ". "
+    docs = [(1, long + "Short tail here. Own end."), (2, "Own start. " + long + "Short tail here. Other end."), (3, None), (4, "Nothing. Repeated.")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect()]
+    assert got == [(2, 1, 1, 1, 2, 1)]
+    assert {r.doc_id: r.text for r in tables["left"].collect()} == {1: docs[0][1], 2: "Own start. Other end.", 3: None, 4: docs[3][1]}
+
+
+def test_substring_dedup_rows_that_share_an_id(spark):
+    """Of rows with one doc_id, or none, each loses its own repeats only; a row without doc_id is never the first copy before others."""
+    long = " ".join(f"w{i}" for i in range(20)) + ". "
+    docs = spark.createDataFrame([(None, "Zero. " + long + "x."), (1, "One. " + long), (2, "Two. " + long + "y."), (2, "Three. Other words. z."), (None, "Four. Free.")], "doc_id long, text string")
+    assert sorted(r.text for r in substring_dedup.remove_repeats(docs).collect()) == sorted(["Zero. x.", "One. " + long, "Two. y.", "Three. Other words. z.", "Four. Free."])
+
+
 def test_suffix_dedup_finds_repeats(spark, odd, none):
     got = [(r.doc_id, r.other_doc_id, r.n_words) for r in suffix_dedup.matches(odd).collect()]
     assert any({a, b} == {7, 8} and n >= 50 for a, b, n in got) and suffix_dedup.matches(none).count() == 0
